@@ -6,16 +6,20 @@ divided by the item's own score, so a passage that holds all of an item scores 1
 items at or above the threshold are retrieved, and kept if both the question's and the
 answer's word trigrams occur in the passage.
 
-Passages that cannot reach the threshold are ruled out by WAND's own bounds, first for a
-whole block of text at once: terms whose impacts sum to at most half the threshold in
-every item are non-essential, so a passage needs half the threshold from the others.
+Items stand in blocks, and the index keeps each term's largest impact in each block. A
+passage's terms bound its score in a block by the sum of those; only blocks that could
+reach the threshold are searched, by WAND with the block's own bounds. Before that, terms
+whose impacts sum to at most half the threshold in every item are non-essential, and a
+passage that lacks half the threshold from the others is ruled out at once.
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections import Counter
 from functools import reduce
+from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
@@ -26,10 +30,11 @@ from . import _text as X
 
 BLOCK_BYTES = 2_000_000
 #: Items of one index; with more text, several indexes are built and queried in turn.
-INDEX_BYTES = 16_000_000
-THRESHOLD, OVERLAP, GRAM = 0.5, 0.5, 3
+INDEX_BYTES = 1_000_000
+THRESHOLD, OVERLAP, GRAM = 0.6, 0.5, 3
 K1, B = 1.2, 0.75
-POSTINGS = 16  # of one block
+ITEMS = 2  # of one block of the index
+SPAN = 4  # length of a passage in lengths of the longest item; passages overlap by one such length
 _FOUND = "doc_id long, item_id long, score double, question_overlap double, answer_overlap double"
 
 
@@ -85,15 +90,16 @@ class Index:
                 postings.setdefault(t, []).append((item, w / total))
         self.terms = np.array(sorted(postings), np.uint64)
         self.lists = []
+        self.tops = np.zeros((len(self.terms), len(items) // ITEMS + 1), np.float32)
         for t in self.terms.tolist():
             own, impacts = [i for i, _ in postings[t]], [w for _, w in postings[t]]
-            tops = [max(impacts[k : k + POSTINGS]) for k in range(0, len(own), POSTINGS)]
-            lasts = [own[min(k + POSTINGS, len(own)) - 1] for k in range(0, len(own), POSTINGS)]
-            self.lists.append((own, impacts, tops, lasts, max(impacts)))
+            self.lists.append((own, impacts))
+            for item, w in postings[t]:
+                self.tops[len(self.lists) - 1, item // ITEMS] = max(w, self.tops[len(self.lists) - 1, item // ITEMS])
         used = np.zeros(len(items))
-        self.essential = np.array([x[4] for x in self.lists] + [0.0])
+        self.essential = np.array([max(x[1]) for x in self.lists] + [0.0])
         for k in sorted(range(len(self.lists)), key=lambda k: -len(self.lists[k][0])):
-            own, impacts = self.lists[k][:2]
+            own, impacts = self.lists[k]
             if (used[own] + impacts).max() <= THRESHOLD / 2:
                 used[own] += impacts
                 self.essential[k] = 0.0
@@ -105,64 +111,66 @@ class Index:
         known[known] = self.terms[at[known]] == words[known]
         return np.where(known, at, len(self.terms))
 
-    def search(self, terms: list[int]) -> list[tuple[int, float]]:
+    def search(self, terms: np.ndarray) -> list[tuple[int, float]]:
         """All items whose summed impacts over the distinct terms reach the threshold."""
         least, out = THRESHOLD - 1e-9, []
-        cursors = [[self.lists[t][0][0], 0, self.lists[t]] for t in terms]
-        end = len(self.ids)
-
-        def forward(c, item):
-            own, at = c[2][0], c[1]
-            while at < len(own) and own[at] < item:
-                at += POSTINGS - at % POSTINGS if c[2][3][at // POSTINGS] < item else 1
-            c[1], c[0] = at, own[at] if at < len(own) else end
-
+        tops = self.tops[terms]
+        for block in np.flatnonzero(tops.sum(0) >= least - 1e-4).tolist():
+            lo, hi = block * ITEMS, (block + 1) * ITEMS
+            top = tops[:, block]
+            own = np.flatnonzero(top)
+            cursors = []
+            for t, bound in zip(terms[own].tolist(), top[own].tolist()):
+                items, impacts = self.lists[t]
+                at = bisect_left(items, lo)
+                cursors.append([items[at], bound, at, items, impacts])
+            out += self._wand(cursors, hi, least)
+        return out
+
+    @staticmethod
+    def _wand(cursors: list, hi: int, least: float) -> list[tuple[int, float]]:
+        """WAND over one block of items, with the block's own largest impacts as bounds."""
+        out = []
         while True:
-            cursors = sorted((c for c in cursors if c[0] < end), key=lambda c: c[0])
-            bound = 0.0
+            cursors = sorted((c for c in cursors if c[0] < hi), key=itemgetter(0))
+            bound = 1e-4
             for k, c in enumerate(cursors):
-                bound += c[2][4]
+                bound += c[1]
                 if bound >= least:
                     break
             else:
                 return out
-            pivot = cursors[k][0]
+            pivot = target = cursors[k][0]
             while k + 1 < len(cursors) and cursors[k + 1][0] == pivot:
                 k += 1
-            near = cursors[: k + 1]
-            if cursors[0][0] < pivot:
-                for c in near:
-                    forward(c, pivot)
-                continue
-            if sum(c[2][2][c[1] // POSTINGS] for c in near) < least:
-                beyond = min(c[2][3][c[1] // POSTINGS] for c in near) + 1
-                if k + 1 < len(cursors):
-                    beyond = min(beyond, cursors[k + 1][0])
-                for c in near:
-                    forward(c, max(beyond, pivot + 1))
-                continue
-            score = sum(c[2][1][c[1]] for c in near)
-            if score >= least:
-                out.append((pivot, score))
-            for c in near:
-                forward(c, pivot + 1)
+            if cursors[0][0] == pivot:
+                score = sum(c[4][c[2]] for c in cursors[: k + 1])
+                if score >= least:
+                    out.append((pivot, score))
+                target = pivot + 1
+            for c in cursors[: k + 1]:
+                if c[0] < target:
+                    items = c[3]
+                    c[2] = at = bisect_left(items, target, c[2])
+                    c[0] = items[at] if at < len(items) else hi
 
     def leaks(self, texts: list[str]) -> list[tuple[int, int, float, float, float]]:
         """(text, item, score, question overlap, answer overlap) of the best passage for each pair."""
         words, first = word_hashes(texts)
         terms = self.lookup(words)
         mass = np.concatenate([[0.0], np.cumsum(self.essential[terms])])
-        length, best = 2 * self.longest, {}
+        step = (SPAN - 1) * self.longest
+        length, best = SPAN * self.longest, {}
         for i, (a, b) in enumerate(zip(first[:-1].tolist(), first[1:].tolist())):
             if mass[b] - mass[a] < THRESHOLD / 2 - 1e-6:
                 continue
-            starts = np.arange(a, max(a + 1, b - self.longest), self.longest)
+            starts = np.arange(a, max(a + 1, b - self.longest), step)
             stops = np.minimum(starts + length, b)
             for s, e in zip(starts.tolist(), stops.tolist()):
                 if mass[e] - mass[s] < THRESHOLD / 2 - 1e-6:
                     continue
                 own = np.unique(terms[s:e])
-                hits = self.search([t for t in own.tolist() if t < len(self.terms)])
+                hits = self.search(own[own < len(self.terms)])
                 grams = {n: X.ngram_hashes(words[s:e], n) for n in range(1, GRAM + 1)} if hits else {}
                 for item, score in hits:
                     found = []
