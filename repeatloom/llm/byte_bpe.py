@@ -14,7 +14,6 @@ two bytes per pre-token, never the texts.
 from __future__ import annotations
 
 import base64
-import hashlib
 import struct
 from functools import lru_cache
 
@@ -32,9 +31,9 @@ BLOCK_BYTES = 6_000_000
 BUCKET_BYTES = 24_000_000
 
 _ANSWER = pa.schema([("key", pa.int64()), ("payload", pa.binary())])
-_OUT = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids", pa.list_(pa.int32())), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())])
+_OUT = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids", pa.list_(pa.int32())), ("decoded", pa.binary())])
 _PARTS = "key long, doc_id long, bucket int, payload binary"
-_RESULT = "doc_id long, n_tokens long, ids array<int>, ids_sha256 string, decoded_sha256 string"
+_RESULT = "doc_id long, n_tokens long, ids array<int>, decoded binary"
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -195,7 +194,7 @@ def _encode(path: str):
     return run
 
 
-def _reassemble(path: str, with_ids: bool):
+def _reassemble(path: str):
     """Join the ids back to the documents of a block, by position, and decode them again."""
 
     def run(key, left, right):
@@ -209,49 +208,37 @@ def _reassemble(path: str, with_ids: bool):
                 where.append(np.frombuffer(blob, "<u4", n, 4))
                 answers += _unpack_strings(blob[4 + 4 * n :])
         at = np.concatenate(where) if where else np.zeros(0, np.int64)
-        size = len(at)
-        texts, decoded, ids_of = [b""] * size, [b""] * size, [()] * size
-        counts = np.zeros(size, np.int64)
+        encoded, decoded = [b""] * len(at), [b""] * len(at)
         for k, answer in zip(at.tolist(), answers):
-            ids = struct.unpack(f"<{len(answer) // 4}I", answer)
-            texts[k] = b"%d " * len(ids) % ids
-            decoded[k] = b"".join([token_bytes[i] for i in ids])
-            counts[k] = len(ids)
-            if with_ids:
-                ids_of[k] = ids
+            encoded[k] = answer
+            decoded[k] = b"".join([token_bytes[i] for i in struct.unpack(f"<{len(answer) // 4}I", answer)])
         for batch in left:
-            out = ([], [], [], [], [])
+            docs, ids, texts = [], [], []
             for doc, bucket, payload in zip(batch.column("doc_id").to_pylist(), batch.column("bucket").to_pylist(), batch.column("payload")):
                 if bucket >= 0:
                     continue
-                index = unpack_varints(payload.as_py())
-                steps = index.tolist()
-                out[0].append(doc)
-                out[1].append(int(counts[index].sum()))
-                out[2].append([i for k in steps for i in ids_of[k]] if with_ids else None)
-                out[3].append(hashlib.sha256(b"".join([texts[k] for k in steps])[:-1]).hexdigest())
-                out[4].append(hashlib.sha256(b"".join([decoded[k] for k in steps])).hexdigest())
-            if out[0]:
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.list_(pa.int32())), pa.array(out[3], pa.string()), pa.array(out[4], pa.string())],
-                    ["doc_id", "n_tokens", "ids", "ids_sha256", "decoded_sha256"],
-                )
+                steps = unpack_varints(payload.as_py()).tolist()
+                docs.append(doc)
+                ids.append(b"".join([encoded[k] for k in steps]))
+                texts.append(b"".join([decoded[k] for k in steps]))
+            sizes = np.array([len(x) // 4 for x in ids], np.int64)
+            lists = pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32), pa.array(np.frombuffer(b"".join(ids), "<i4")))
+            yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(sizes), lists, pa.array(texts, pa.binary())], schema=_OUT)
 
     return run
 
 
-def encode_decode(docs: DataFrame, ranks_path: str, with_ids: bool = True) -> DataFrame:
+def encode_decode(docs: DataFrame, ranks_path: str) -> DataFrame:
     """Encode ``text`` of every row of ``docs`` and decode it again.
 
-    Returns doc_id, n_tokens, ids (null unless ``with_ids``), ids_sha256 (of the decimal
-    ids joined by a space) and decoded_sha256 (of the decoded bytes), one row per input
-    row. A null or empty text has no tokens and the digests of nothing; repeated rows give
-    repeated rows; a null doc_id stays null; other columns are ignored; an empty table
-    gives an empty result. Very long texts form a block of their own.
+    Returns doc_id, n_tokens, ids and decoded (bytes), one row per input row. A null or
+    empty text has no tokens and decodes to nothing; repeated rows give repeated rows; a
+    null doc_id stays null; other columns are ignored; an empty table gives an empty
+    result. Very long texts form a block of their own.
     """
     total = text_bytes(docs)
     n_buckets, n_blocks = parts(total, BUCKET_BYTES), parts(total, BLOCK_BYTES)
     cut = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_cut(n_buckets), _PARTS)
     dealt = cut.repartition(n_buckets + n_blocks, "key")
     answers = dealt.groupBy("key").applyInArrow(X.on_tables(_encode(ranks_path), _ANSWER), "key long, payload binary")
-    return dealt.groupBy("key").cogroup(answers.groupBy("key")).applyInArrow(X.on_tables(_reassemble(ranks_path, with_ids), _OUT), _RESULT)
+    return dealt.groupBy("key").cogroup(answers.groupBy("key")).applyInArrow(X.on_tables(_reassemble(ranks_path), _OUT), _RESULT)

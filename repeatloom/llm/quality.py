@@ -14,6 +14,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import _text as X
 from ._staging import stage
@@ -233,7 +234,8 @@ def keep_good(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> D
             packed = pa.StructArray.from_arrays([pa.array(values[:, k]) for k in range(len(STATISTICS))], STATISTICS)
             yield pa.RecordBatch.from_arrays([*block.columns, packed], [*block.schema.names, kept])
 
-    schema = docs.schema.add(kept, "struct<" + ",".join(f"{s}:double" for s in STATISTICS) + ">")
+    numbers = T.StructType([T.StructField(s, T.DoubleType()) for s in STATISTICS])
+    schema = T.StructType([*docs.schema.fields, T.StructField(kept, numbers)])
     inside = F.col(kept)
     scored = docs.mapInArrow(run, schema)
     return scored.where(model.margin(inside.getField) >= 0).select(*(F.col(f"`{c}`") for c in columns))
