@@ -182,11 +182,27 @@ def span_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, base:
     return (total[ends] - total[starts]) * down[starts]
 
 
+#: Symbols hashed at a time, which bounds the power tables and intermediate arrays.
+CHUNK = 1 << 19
+
+
 def slice_hashes(symbols: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int = 1) -> np.ndarray:
-    """64-bit hashes of slices of an array of bytes or code points."""
+    """64-bit hashes of slices of an array of bytes, code points or hashes; slices are in order and don't overlap."""
+    out, i = np.empty(len(starts), U64), 0
+    while i < len(starts):
+        low = starts[i]
+        j = max(i + 1, int(np.searchsorted(ends, low + CHUNK, "right")))
+        out[i:j] = _slice_hashes(symbols[low : ends[j - 1]], starts[i:j] - low, ends[i:j] - low, seed)
+        i = j
+    return out
+
+
+def _slice_hashes(symbols, starts, ends, seed):
     table, base = _symbols(seed)
     if symbols.dtype == np.uint8:
         values = table[symbols]
+    elif symbols.dtype == U64:
+        values = symbols
     else:
         values = table[symbols & 0xFFFF]
         high = symbols >> 16
@@ -201,8 +217,11 @@ def ngram_hashes(words: np.ndarray, n: int, seed: int = 1) -> np.ndarray:
     if count <= 0:
         return np.zeros(0, U64)
     _, base = _symbols(seed + 100)
-    at = np.arange(count)
-    return mix(span_hashes(words, at, at + n, base))
+    out = np.empty(count, U64)
+    for i in range(0, count, CHUNK):
+        at = np.arange(min(CHUNK, count - i))
+        out[i : i + CHUNK] = mix(span_hashes(words[i : i + len(at) + n - 1], at, at + n, base))
+    return out
 
 
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else 32 if 9 <= c <= 13 else c for c in range(256))

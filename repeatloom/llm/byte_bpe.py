@@ -27,8 +27,8 @@ from pyspark.sql import functions as F
 from . import _text as X
 from ._staging import parts, text_bytes
 
-BLOCK_BYTES = 6_000_000
-BUCKET_BYTES = 24_000_000
+BLOCK_BYTES = 4_000_000
+BUCKET_BYTES = 16_000_000
 
 _ANSWER = pa.schema([("key", pa.int64()), ("payload", pa.binary())])
 _OUT = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids", pa.list_(pa.int32())), ("decoded", pa.binary())])
@@ -104,9 +104,8 @@ def distinct_pieces(cps: np.ndarray, starts: np.ndarray, ends: np.ndarray, joine
     hashes = X.slice_hashes(cps, starts, ends)
     _, where, index, counts = np.unique(hashes, return_index=True, return_inverse=True, return_counts=True)
     lengths = ends - starts
-    if (lengths != lengths[where][index]).any() or (
-        X.slice_hashes(cps, starts, ends, 2) != X.slice_hashes(cps, starts[where], ends[where], 2)[index]
-    ).any():
+    second = X.slice_hashes(cps, starts, ends, 2)
+    if (lengths != lengths[where][index]).any() or (second != second[where][index]).any():
         seen: dict[str, int] = {}
         index = np.array([seen.setdefault(joined[a:b], len(seen)) for a, b in zip(starts.tolist(), ends.tolist())])
         return list(seen), index

@@ -29,7 +29,7 @@ from ._staging import parts, stage, text_bytes
 from .components import components
 
 BLOCK_BYTES = 4_000_000
-BUCKET_BYTES = 20_000_000
+BUCKET_BYTES = 12_000_000
 WORDS = 5
 #: Shingles that more sets hold are indexed in pairs.
 FREQUENT = 32
@@ -61,9 +61,8 @@ def shingle_sets(texts: list[bytes], words: int = WORDS) -> list[np.ndarray]:
 def fingerprints(sets: list[np.ndarray]) -> np.ndarray:
     ends = np.cumsum([len(s) for s in sets])
     flat = np.concatenate(sets) if sets else np.zeros(0, U64)
-    _, base = X._symbols(7)
     starts = np.concatenate([[0], ends[:-1]]).astype(np.int64)
-    return X.mix(X.span_hashes(X.mix(flat), starts, ends, base) + (ends - starts).astype(U64))
+    return X.slice_hashes(X.mix(flat), starts, ends, 7)
 
 
 def _deal(n_buckets: int):

@@ -27,8 +27,8 @@ from . import _text as X
 from ._staging import parts, text_bytes
 
 WINDOW = 35
-BLOCK_BYTES = 6_000_000
-BUCKET_BYTES = 24_000_000
+BLOCK_BYTES = 4_000_000
+BUCKET_BYTES = 16_000_000
 CELLS_PER_WINDOW = 16
 ROWS = 2
 
