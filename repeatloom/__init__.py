@@ -1,0 +1,3 @@
+"""Repeat-region analytics as lazy DataFrame plans."""
+
+__version__ = "0.1.0"

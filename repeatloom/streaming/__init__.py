@@ -1,0 +1 @@
+"""All analyses here are batch; the operators hold no state, so those without global order also run on streams."""
