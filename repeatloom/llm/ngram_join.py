@@ -10,8 +10,9 @@
    more shingles are covered than the set may miss, one per sub-class not counting, so
    that two linked sets always share a signature.
 4. Candidates are verified on the exact sets. First every set is held against the most
-   typical set under each of its signatures; sets already connected need no further pair,
-   and only pairs across different components are generated and verified after that.
+   typical set under each of its signatures, the head; sets already connected need no
+   further pair. Two sets of different components under one head either both share enough
+   with it, or a link needs a shingle that the head lacks; pairs are generated by that.
 
 Sets are told apart by a 64-bit fingerprint of their sorted hashes, shingles by a 64-bit
 hash: among n different sets two share a fingerprint with probability n**2 / 2**65.
@@ -38,7 +39,9 @@ LEVEL = 1.4
 
 U64 = np.uint64
 _DEALT = "bucket int, fps binary, sizes binary, docs array<long>, doc_fps array<long>, doc_sizes array<long>, hashes binary, ords binary"
-_FOUND = pa.schema([("doc_id", pa.int64()), ("fp", pa.int64()), ("n", pa.int64()), ("tokens", pa.binary()), ("counts", pa.binary())])
+_FOUND_TYPES = "doc_id long, fp long, n long, dest int, fps binary, sizes binary, tokens binary, counts binary"
+_FOUND = pa.schema([("doc_id", pa.int64()), ("fp", pa.int64()), ("n", pa.int64()), ("dest", pa.int32()), *((c, pa.binary()) for c in ("fps", "sizes", "tokens", "counts"))])
+_SETS = pa.schema([("fp", pa.int64()), ("n", pa.int64()), ("s", pa.int64()), ("tokens", pa.list_(pa.int64())), ("sigs", pa.list_(pa.int64()))])
 
 
 def shingle_sets(texts: list[bytes], words: int = WORDS) -> list[np.ndarray]:
@@ -112,13 +115,17 @@ def _deal(n_buckets: int):
     return run
 
 
-def _shared(key, batches):
-    """A row for each document dealt here, and for each set the shingles of this bucket that other sets hold too."""
+def _shared(n_buckets: int):
+    return lambda key, batches: _shared_of(batches, n_buckets)
+
+
+def _shared_of(batches, n_buckets):
+    """A row for each document dealt here, and the shingles of this bucket that several sets hold, dealt by set."""
     hashes, fps, sizes = [], [], []
     for batch in batches:
         docs, doc_fps, doc_sizes = (pa.chunked_array([batch.column(c)]).combine_chunks().flatten() for c in ("docs", "doc_fps", "doc_sizes"))
         none = pa.nulls(len(docs), pa.binary())
-        yield pa.RecordBatch.from_arrays([docs, doc_fps, doc_sizes, none, none], schema=_FOUND)
+        yield pa.RecordBatch.from_arrays([docs, doc_fps, doc_sizes, pa.nulls(len(docs), pa.int32()), none, none, none, none], schema=_FOUND)
         for f, s, h, o in zip(*(batch.column(c) for c in ("fps", "sizes", "hashes", "ords"))):
             at = np.frombuffer(o.as_py(), "<u2")
             hashes.append(X.unpack_deltas(h.as_py()))
@@ -145,22 +152,14 @@ def _shared(key, batches):
     held = np.repeat(count, count)
     kept = held > 1
     h, f, s, held = h[kept], f[kept], s[kept], held[kept].astype("<u4")
-    order = np.argsort(f, kind="stable")
-    h, f, s, held = h[order], f[order], s[order], held[order]
-    first = np.flatnonzero(np.concatenate([[True], f[1:] != f[:-1]])) if len(f) else np.zeros(0, np.int64)
-    edges = [*first.tolist(), len(f)]
-    for at in range(0, len(first), 20_000):
-        some = range(at, min(at + 20_000, len(first)))
-        yield pa.RecordBatch.from_arrays(
-            [
-                pa.nulls(len(some), pa.int64()),
-                pa.array(f[first[at : at + 20_000]].view(np.int64)),
-                pa.array(s[first[at : at + 20_000]].astype(np.int64)),
-                pa.array([h[edges[i] : edges[i + 1]].tobytes() for i in some], pa.binary()),
-                pa.array([held[edges[i] : edges[i + 1]].tobytes() for i in some], pa.binary()),
-            ],
-            schema=_FOUND,
-        )
+    dest = (f % U64(n_buckets)).astype(np.int32)
+    order = np.argsort(dest, kind="stable")
+    h, f, s, held, dest = h[order], f[order], s[order].astype("<u4"), held[order], dest[order]
+    first = np.flatnonzero(np.concatenate([[True], dest[1:] != dest[:-1]])) if len(dest) else np.zeros(0, np.int64)
+    cut = list(zip(first.tolist(), [*first[1:].tolist(), len(dest)]))
+    none = pa.nulls(len(cut), pa.int64())
+    packed = [pa.array([x[i:j].tobytes() for i, j in cut], pa.binary()) for x in (f, s, h, held)]
+    yield pa.RecordBatch.from_arrays([none, none, none, pa.array(dest[first]), *packed], schema=_FOUND)
 
 
 def signatures(n: int, tokens: np.ndarray, held: np.ndarray, frequent: int = FREQUENT) -> np.ndarray:
@@ -193,21 +192,25 @@ def signatures(n: int, tokens: np.ndarray, held: np.ndarray, frequent: int = FRE
     return np.concatenate(out).view(np.int64)
 
 
-def _index(batches):
+def _index(key, batches):
+    """Sets that could have a link, with their shared shingles and signatures."""
+    columns = {c: [] for c in ("fps", "sizes", "tokens", "counts")}
     for batch in batches:
-        rows = ([], [], [], [], [])
-        for fp, n, chunks in zip(batch.column("fp").to_pylist(), batch.column("n").to_pylist(), batch.column("chunks").to_pylist()):
-            tokens = np.frombuffer(b"".join(c["tokens"] for c in chunks), U64)
-            held = np.frombuffer(b"".join(c["counts"] for c in chunks), "<u4")
-            sigs = signatures(n, tokens, held)
+        for c, kind in (("fps", U64), ("sizes", "<u4"), ("tokens", U64), ("counts", "<u4")):
+            columns[c] += [np.frombuffer(x.as_py(), kind) for x in batch.column(c)]
+    f, n, tokens, held = (np.concatenate(x) for x in columns.values())
+    order = np.argsort(f, kind="stable")
+    f, n, tokens, held = f[order], n[order], tokens[order], held[order]
+    first = np.flatnonzero(np.concatenate([[True], f[1:] != f[:-1]])) if len(f) else np.zeros(0, np.int64)
+    rows = ([], [], [], [], [])
+    for i, j in zip(first.tolist(), [*first[1:].tolist(), len(f)]):
+        size = int(n[i])
+        if 4 * (j - i) >= 3 * size:
+            sigs = signatures(size, tokens[i:j], held[i:j])
             if len(sigs):
-                for column, value in zip(rows, (fp, n, len(tokens), np.sort(tokens).view(np.int64), np.unique(sigs))):
+                for column, value in zip(rows, (int(f[i : i + 1].view(np.int64)[0]), size, j - i, np.sort(tokens[i:j]).view(np.int64), np.unique(sigs))):
                     column.append(value)
-        longs = pa.list_(pa.int64())
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(c, k) for c, k in zip(rows, (pa.int64(), pa.int64(), pa.int64(), longs, longs))],
-            ["fp", "n", "s", "tokens", "sigs"],
-        )
+    yield pa.RecordBatch.from_arrays([pa.array(c, k.type) for c, k in zip(rows, _SETS)], schema=_SETS)
 
 
 def _enough(shared, n_a, n_b):
@@ -216,40 +219,57 @@ def _enough(shared, n_a, n_b):
 
 
 def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    a = sets.select(F.col("fp").alias("a"), F.col("n").alias("n_a"), F.col("tokens").alias("t_a"))
+    """The pairs (a, b) with the sizes of both sets and how many shingles they share."""
+    a = sets.select(F.col("fp").alias("a"), F.col("n").alias("n_a"), F.col("s").alias("s_a"), F.col("tokens").alias("t_a"))
     b = sets.select(F.col("fp").alias("b"), F.col("n").alias("n_b"), F.col("tokens").alias("t_b"))
     joined = pairs.join(a, "a").join(b, "b")
-    return joined.where(_enough(F.size(F.array_intersect("t_a", "t_b")), F.col("n_a"), F.col("n_b"))).select("a", "b")
+    return joined.select("a", "b", "n_a", "s_a", "n_b", F.size(F.array_intersect("t_a", "t_b")).cast("long").alias("both"))
+
+
+def _linked(pairs: DataFrame) -> DataFrame:
+    return pairs.where(_enough(F.col("both"), F.col("n_a"), F.col("n_b"))).select("a", "b")
+
+
+def _across(sets: DataFrame, sigs: DataFrame, heads: DataFrame, star: DataFrame, roots: DataFrame) -> DataFrame:
+    """Pairs of sets in different components that may be linked.
+
+    Both lie under one head, a set that each has been held against. Let x and y share
+    i_x and i_y shingles with it. If both are enough for a link, the pair is taken;
+    otherwise a link needs a shingle that the head lacks, and the pair is found by that.
+    """
+    placed = sigs.join(heads.select("sig", F.col("p.fp").alias("head")), "sig").join(roots.withColumnRenamed("node", "fp"), "fp", "left")
+    placed = placed.withColumn("root", F.coalesce("root", "fp"))
+    for _ in range(2):  # of a bucket, keep sets that the smallest set of several components could match
+        within = placed.groupBy("sig").agg(F.min("n").alias("least"), F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi")
+        placed = placed.join(within, "sig").where(_enough(F.col("s"), F.col("n"), F.col("least"))).select("sig", "head", "fp", "n", "s", "root")
+    under = placed.select("head", "fp", "root").distinct().join(star.select(F.col("b").alias("head"), F.col("a").alias("fp"), F.col("n_a").alias("n"), F.col("s_a").alias("s"), F.col("both").alias("i")), ["head", "fp"])
+    under = stage(under)
+    mine, heads_own = sets.select("fp", "tokens"), sets.select(F.col("fp").alias("head"), F.col("tokens").alias("t_head"))
+    rest = under.join(mine, "fp").join(heads_own, "head").withColumn("token", F.explode(F.array_except("tokens", "t_head"))).drop("tokens", "t_head")
+
+    def meet(rows: DataFrame, on: list[str], enough_alone: bool) -> DataFrame:
+        left, right = (rows.select(*on, *(F.col(c).alias(f"{c}_{side}") for c in ("fp", "n", "s", "i", "root"))) for side in "xy")
+        common, n_x, n_y = F.least("i_x", "i_y"), F.col("n_x"), F.col("n_y")
+        alone = _enough(common, n_x, n_y)
+        most = common + F.least(F.col("s_x") - F.col("i_x"), F.col("s_y") - F.col("i_y"))
+        fits = alone if enough_alone else ~alone & _enough(most, n_x, n_y)
+        found = left.join(right, on).where((F.col("root_x") < F.col("root_y")) & fits)
+        return found.select(F.least("fp_x", "fp_y").alias("a"), F.greatest("fp_x", "fp_y").alias("b"))
+
+    return meet(under, ["head"], True).unionByName(meet(rest, ["head", "token"], False)).distinct()
 
 
 def _links(sets: DataFrame) -> DataFrame:
     """(node, root) of all sets linked with others."""
     sigs = sets.select("fp", "n", "s", F.explode("sigs").alias("sig"))
-    typical = F.min(F.struct(((F.col("n") - F.col("s")) / F.col("n")).alias("missed"), "fp", "n", "s")).alias("p")
-    heads = sigs.groupBy("sig").agg(F.count("*").alias("m"), typical).where("m > 1").drop("m")
-    star = (
-        sigs.join(heads, "sig")
-        .where((F.col("fp") != F.col("p.fp")) & _enough(F.least("s", "p.s"), F.col("n"), F.col("p.n")))
-        .select(F.least("fp", "p.fp").alias("a"), F.greatest("fp", "p.fp").alias("b"))
-        .distinct()
-    )
-    star = stage(star)
-    near = stage(_verified(star, sets))
+    typical = F.min(F.struct(((F.col("n") - F.col("s")) / F.col("n")).alias("missed"), "fp")).alias("p")
+    heads = stage(sigs.groupBy("sig").agg(F.count("*").alias("m"), typical).where("m > 1").drop("m"))
+    star = sigs.join(heads, "sig").where(F.col("fp") != F.col("p.fp")).select(F.col("fp").alias("a"), F.col("p.fp").alias("b")).distinct()
+    star = stage(_verified(star, sets))
+    near = _linked(star)
     roots = stage(components(near))
-    placed = sigs.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    for _ in range(2):  # of a bucket, keep sets that some other component's smallest set could match
-        within = placed.groupBy("sig").agg(F.min("n").alias("least"), F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi")
-        placed = placed.join(within, "sig").where(_enough(F.col("s"), F.col("n"), F.col("least"))).select("sig", "fp", "n", "s", "root")
-    placed = stage(placed)
-    left, right = (placed.select("sig", *(F.col(c).alias(f"{c}_{side}") for c in ("fp", "n", "s", "root"))) for side in "ab")
-    across = (
-        left.join(right, "sig")
-        .where((F.col("root_a") < F.col("root_b")) & _enough(F.least("s_a", "s_b"), F.col("n_a"), F.col("n_b")))
-        .select(F.least("fp_a", "fp_b").alias("a"), F.greatest("fp_a", "fp_b").alias("b"))
-        .distinct()
-        .join(star, ["a", "b"], "left_anti")
-    )
-    return components(near.unionByName(_verified(across, sets)))
+    more = _linked(_verified(_across(sets, sigs, heads, star, roots), sets))
+    return components(near.unionByName(more))
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -265,15 +285,13 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     total = text_bytes(docs)
     n_buckets = parts(total, BUCKET_BYTES)
     dealt = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_deal(n_buckets), _DEALT)
-    found = stage(dealt.groupBy("bucket").applyInArrow(X.on_tables(_shared, _FOUND), "doc_id long, fp long, n long, tokens binary, counts binary"))
-    members = found.where("tokens is null").select("doc_id", "fp", F.col("n").alias("n_shingles"))
+    found = stage(dealt.groupBy("bucket").applyInArrow(X.on_tables(_shared(n_buckets), _FOUND), _FOUND_TYPES))
+    members = found.where("dest is null").select("doc_id", "fp", F.col("n").alias("n_shingles"))
     sets = stage(
-        found.where("tokens is not null")
-        .groupBy("fp")
-        .agg(F.first("n").alias("n"), F.sum(F.octet_length("tokens") / 8).alias("s"), F.collect_list(F.struct("tokens", "counts")).alias("chunks"))
-        .where("4 * s >= 3 * n")
-        .select("fp", "n", "chunks")
-        .mapInArrow(_index, "fp long, n long, s long, tokens array<long>, sigs array<long>")
+        found.where("dest is not null")
+        .select("dest", "fps", "sizes", "tokens", "counts")
+        .groupBy("dest")
+        .applyInArrow(X.on_tables(_index, _SETS), "fp long, n long, s long, tokens array<long>, sigs array<long>")
     )
     roots = stage(_links(sets))
     lowest = members.where("n_shingles > 0").groupBy("fp").agg(F.min("doc_id").alias("low"))
