@@ -1,20 +1,21 @@
 """Reply trees to training conversations, in DataFrame operations only.
 
-Iterated self-joins double the stretch of ancestors that each message knows until every
-leaf knows its path to the root; branches are ranked by score, and the messages of each
-chosen path are formatted as one conversation with the spans of its loss mask.
+Iterated self-joins double the distance over which each message knows its ancestor, and
+sum the scores passed, until every leaf knows its root; branches are ranked by score, the
+same jumps enumerate the messages of each chosen path, and these are formatted as one
+conversation with the spans of its loss mask.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ._staging import stage
 
 TURN, END = "<|turn|>", "<|end|>\n"
-#: A path of up to 2**MAX_DOUBLINGS messages is found.
-MAX_DOUBLINGS = 20
 
 
 def escape(text: Column) -> Column:
@@ -34,6 +35,49 @@ def _unescape_role(role: Column) -> Column:
     return unescape(F.replace(role, F.lit("&#10;"), F.lit("\n")))
 
 
+def _leaves(messages: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
+    """(tree, leaf, score, n) for each leaf with a root, n the messages of its path; and the jumps (tree, id, up) over 1, 2, 4, ... replies.
+
+    Each doubling joins only messages that have not reached their root yet, with the trees
+    that still hold such messages. Messages on a cycle never reach one: when a doubling
+    leaves as many open messages as before, only those are left.
+    """
+    ids = messages.select("tree", F.col("id").alias("parent")).distinct()
+    known = messages.join(ids.withColumn("has", F.lit(True)), ["tree", "parent"], "left")
+    nodes = stage(known.select("tree", "id", F.when(F.col("has"), F.col("parent")).alias("up"), F.coalesce("score", F.lit(0.0)).alias("total")))
+    parents = nodes.where("up is not null").select("tree", F.col("up").alias("id")).distinct().withColumn("inner", F.lit(True))
+    state = nodes.join(parents, ["tree", "id"], "left").select("tree", "id", "up", "total", F.lit(1).cast("long").alias("n"), F.col("inner").isNull().alias("leaf"))
+    state = stage(state)
+    ended, jumps, before = [], [], None
+    while True:
+        ended.append(state.where("leaf and up is null"))
+        unfinished = state.where("up is not null")
+        count = unfinished.count()
+        if count in (0, before):
+            break
+        before = count
+        jumps.append(unfinished.select("tree", "id", "up"))
+        above = state.select("tree", F.col("id").alias("up"), F.col("up").alias("next"), F.col("total").alias("plus"), F.col("n").alias("more"))
+        moved = unfinished.join(above, ["tree", "up"]).select("tree", "id", F.col("next").alias("up"), (F.col("total") + F.col("plus")).alias("total"), (F.col("n") + F.col("more")).alias("n"), "leaf")
+        finished = state.where("up is null").join(unfinished.select("tree").distinct(), "tree", "left_semi").withColumn("leaf", F.lit(False))
+        state = stage(moved.unionByName(finished))
+    found = reduce(DataFrame.unionByName, ended)
+    return found.select("tree", F.col("id").alias("leaf"), (F.col("total") / F.col("n")).alias("score"), "n"), jumps
+
+
+def _paths(leaves: DataFrame, jumps: list[DataFrame]) -> DataFrame:
+    """(tree, leaf, n, id, back) for every message between root and leaf, back counting from the leaf.
+
+    Each distance from the leaf is one sum of powers of two, so every message is reached
+    once and the rows made are those returned.
+    """
+    reached = [stage(leaves.select("tree", "leaf", "n", F.col("leaf").alias("id"), F.lit(0).cast("long").alias("back")))]
+    for k in range(len(jumps) - 1, -1, -1):
+        able = reduce(DataFrame.unionByName, [r.where(F.col("n") - F.col("back") > 2**k) for r in reached])
+        reached.append(stage(able.join(jumps[k], ["tree", "id"]).select("tree", "leaf", "n", F.col("up").alias("id"), (F.col("back") + 2**k).alias("back"))))
+    return reduce(DataFrame.unionByName, reached)
+
+
 def branches(messages: DataFrame) -> DataFrame:
     """(tree, leaf, path, score): for each leaf the messages from the root to it, and the mean of their scores.
 
@@ -41,27 +85,9 @@ def branches(messages: DataFrame) -> DataFrame:
     and score. A message whose parent is missing begins a tree of its own; messages on a
     cycle belong to no path.
     """
-    ids = messages.select("tree", F.col("id").alias("parent")).distinct()
-    known = messages.join(ids.withColumn("has", F.lit(True)), ["tree", "parent"], "left")
-    nodes = known.select("tree", "id", F.when(F.col("has"), F.col("parent")).alias("up"), F.coalesce("score", F.lit(0.0)).alias("score"))
-    nodes = stage(nodes)
-    parents = nodes.where("up is not null").select("tree", F.col("up").alias("id")).distinct().withColumn("inner", F.lit(True))
-    state = nodes.select("tree", "id", "up", F.array("id").alias("path"), F.col("score").alias("total"))
-    state = stage(state.join(parents, ["tree", "id"], "left").withColumn("leaf", F.col("inner").isNull()).drop("inner"))
-    for _ in range(MAX_DOUBLINGS):
-        if state.where("leaf and up is not null").isEmpty():
-            break
-        above = state.select("tree", F.col("id").alias("up"), F.col("up").alias("next"), F.col("path").alias("more"), F.col("total").alias("plus"))
-        state = stage(
-            state.join(above, ["tree", "up"], "left")
-            .select(
-                "tree", "id", F.col("next").alias("up"), "leaf",
-                F.when(F.col("more").isNull(), F.col("path")).otherwise(F.concat("more", "path")).alias("path"),
-                (F.col("total") + F.coalesce("plus", F.lit(0.0))).alias("total"),
-            )
-        )
-    ends = state.where("leaf and up is null")
-    return ends.select("tree", F.col("id").alias("leaf"), "path", (F.col("total") / F.size("path")).alias("score"))
+    leaves, jumps = _leaves(messages)
+    steps = _paths(leaves, jumps).groupBy("tree", "leaf").agg(F.array_sort(F.collect_list(F.struct((-F.col("back")).alias("at"), "id"))).alias("steps"))
+    return leaves.join(steps, ["tree", "leaf"]).select("tree", "leaf", F.col("steps.id").alias("path"), "score")
 
 
 def format_branches(messages: DataFrame, top: int = 1) -> DataFrame:
@@ -72,10 +98,10 @@ def format_branches(messages: DataFrame, top: int = 1) -> DataFrame:
     length, in code points) of what assistants said. Null texts and roles count as empty;
     other columns are ignored; an empty table gives an empty result.
     """
-    paths = branches(messages)
+    leaves, jumps = _leaves(messages)
     best = Window.partitionBy("tree").orderBy(F.desc("score"), "leaf")
-    chosen = paths.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= top)
-    steps = chosen.select("tree", "leaf", "rank", "score", F.posexplode("path").alias("at", "id"))
+    chosen = stage(leaves.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= top))
+    steps = _paths(chosen, jumps).withColumn("at", F.col("n") - F.col("back"))
     role, text = F.coalesce("role", F.lit("")), F.coalesce("text", F.lit(""))
     said = messages.select("tree", "id", (role == "assistant").alias("trained"), F.concat(F.lit(TURN), _escape_role(role), F.lit("\n")).alias("head"), escape(text).alias("body"))
     turns = steps.join(said, ["tree", "id"])
@@ -83,8 +109,8 @@ def format_branches(messages: DataFrame, top: int = 1) -> DataFrame:
     size = F.length("head") + F.length("body") + len(END)
     start = F.coalesce(F.sum(size).over(so_far), F.lit(0)) + F.length("head")
     span = F.when(F.col("trained"), F.struct(start.cast("long").alias("start"), F.length("body").cast("long").alias("length")))
-    pieces = turns.select("tree", "leaf", "rank", "score", F.struct("at", F.concat("head", "body", F.lit(END)).alias("piece"), span.alias("span")).alias("turn"))
-    whole = pieces.groupBy("tree", "leaf", "rank", "score").agg(F.array_sort(F.collect_list("turn")).alias("turns"))
+    pieces = turns.select("tree", "leaf", F.struct("at", F.concat("head", "body", F.lit(END)).alias("piece"), span.alias("span")).alias("turn"))
+    whole = pieces.groupBy("tree", "leaf").agg(F.array_sort(F.collect_list("turn")).alias("turns")).join(chosen, ["tree", "leaf"])
     return whole.select(
         "tree", "leaf", "rank", "score", F.size("turns").cast("long").alias("n_turns"),
         F.array_join(F.col("turns.piece"), "").alias("formatted"),

@@ -177,3 +177,13 @@ def test_html(spark):
     out = {r.page_id: r for r in html_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
     assert out[1].text == "Head & line First, a long sentence with words. Second one. More."
     assert [out[i].text for i in (2, 3, 4)] == ["", "", "plain text"] and out[1].n_chars == len(out[1].text)
+
+
+def test_deep_and_cyclic_trees(spark):
+    rows = [("deep", i, i - 1 if i else None, "user", str(i), float(i)) for i in range(41)]
+    rows += [("deep", 100, 20, "assistant", "side", 0.0), ("loop", 1, 2, "user", "x", 0.0), ("loop", 2, 1, "user", "y", 0.0), ("loop", 3, 1, "user", "z", 0.0), ("own", 1, 1, "user", "w", 0.0)]
+    messages = spark.createDataFrame(rows, "tree string, id long, parent long, role string, text string, score double")
+    got = {(r.tree, r.leaf): (r.path, r.score) for r in chat.branches(messages).collect()}
+    assert got == {("deep", 40): (list(range(41)), 20.0), ("deep", 100): ([*range(21), 100], 210 / 22)}
+    out = chat.format_branches(messages).collect()
+    assert [(r.tree, r.leaf, r.n_turns) for r in out] == [("deep", 40, 41)]
