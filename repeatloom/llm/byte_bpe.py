@@ -55,15 +55,13 @@ def _encoder(path: str):
 
 
 def pack_varints(values: np.ndarray) -> bytes:
-    """Non-negative integers below 2**21 in one to three bytes each."""
-    width = 1 + (values >= 1 << 7).astype(np.int64) + (values >= 1 << 14)
+    """Non-negative integers below 2**35, seven bits a byte, the low ones first."""
+    width = 1 + sum((values >= 1 << 7 * k).astype(np.int64) for k in range(1, 5))
     at = np.cumsum(width) - width
     out = np.zeros(int(width.sum()), np.uint8)
-    out[at] = (values & 0x7F) | np.where(width > 1, 0x80, 0)
-    two = width > 1
-    out[at[two] + 1] = ((values[two] >> 7) & 0x7F) | np.where(width[two] > 2, 0x80, 0)
-    three = width > 2
-    out[at[three] + 2] = values[three] >> 14
+    for k in range(int(width.max(initial=0))):
+        own = width > k
+        out[at[own] + k] = ((values[own] >> 7 * k) & 0x7F) | np.where(width[own] > k + 1, 0x80, 0)
     return out.tobytes()
 
 
@@ -72,27 +70,32 @@ def unpack_varints(data: bytes) -> np.ndarray:
     ends = np.flatnonzero(raw < 0x80)
     starts = np.concatenate([[0], ends[:-1] + 1]).astype(np.int64) if len(ends) else np.zeros(0, np.int64)
     width = ends - starts + 1
-    out = (raw[starts] & 0x7F).astype(np.int64)
-    two = width > 1
-    out[two] |= (raw[starts[two] + 1] & 0x7F).astype(np.int64) << 7
-    three = width > 2
-    out[three] |= raw[starts[three] + 2].astype(np.int64) << 14
+    out = np.zeros(len(starts), np.int64)
+    for k in range(int(width.max(initial=0))):
+        own = width > k
+        out[own] |= (raw[starts[own] + k] & 0x7F).astype(np.int64) << 7 * k
     return out
 
 
-def _pack_strings(items: list[bytes]) -> bytes:
-    sizes = np.array([len(x) for x in items], "<u4")
-    return zstandard.compress(struct.pack("<I", len(items)) + sizes.tobytes() + b"".join(items), 1)
+def _pack_parts(*parts: bytes) -> bytes:
+    """Several byte strings, compressed together."""
+    return zstandard.compress(struct.pack(f"<{len(parts)}Q", *map(len, parts)) + b"".join(parts), 3)
 
 
-def _unpack_strings(data: bytes) -> list[bytes]:
+def _unpack_parts(data: bytes, n: int) -> list[bytes]:
     raw = zstandard.decompress(data)
-    (n,) = struct.unpack_from("<I", raw)
-    at, out = 4 + 4 * n, []
-    for size in np.frombuffer(raw, "<u4", n, 4).tolist():
-        out.append(raw[at : at + size])
-        at += size
-    return out
+    sizes = struct.unpack_from(f"<{n}Q", raw)
+    ends = np.cumsum([8 * n, *sizes]).tolist()
+    return [raw[i:j] for i, j in zip(ends, ends[1:])]
+
+
+def _cut_up(data: bytes, sizes: np.ndarray) -> list[bytes]:
+    ends = np.cumsum(sizes).tolist()
+    return [data[i:j] for i, j in zip([0, *ends], ends)]
+
+
+def _sizes(items: list[bytes]) -> np.ndarray:
+    return np.fromiter(map(len, items), np.int64, len(items))
 
 
 def distinct_pieces(cps: np.ndarray, starts: np.ndarray, ends: np.ndarray, joined: str) -> tuple[list[str], np.ndarray]:
@@ -132,12 +135,13 @@ def _cut(n_buckets: int):
             words, index = distinct_pieces(cps, starts, ends, joined) if len(starts) else ([], starts)
             of = np.searchsorted(starts, offsets)
             rows = len(texts)
+            packer = zstandard.ZstdCompressor(level=3)
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array([key] * rows, pa.int64()),
                     block.column("doc_id"),
                     pa.array([-1] * rows, pa.int32()),
-                    pa.array([pack_varints(index[of[i] : of[i + 1]]) for i in range(rows)], pa.binary()),
+                    pa.array([packer.compress(pack_varints(index[of[i] : of[i + 1]])) for i in range(rows)], pa.binary()),
                 ],
                 ["key", "doc_id", "bucket", "payload"],
             )
@@ -151,8 +155,9 @@ def _cut(n_buckets: int):
             used, first = np.unique(bucket[order], return_index=True)
             edges = [*first.tolist(), len(order)]
             blobs = [
-                struct.pack("<qI", key, j - i) + order[i:j].astype("<u4").tobytes() + _pack_strings([raw[k] for k in order[i:j].tolist()])
+                struct.pack("<q", key) + _pack_parts(pack_varints(np.diff(order[i:j], prepend=0)), pack_varints(_sizes(own)), b"".join(own))
                 for i, j in zip(edges, edges[1:])
+                for own in [[raw[k] for k in order[i:j].tolist()]]
             ]
             yield pa.RecordBatch.from_arrays(
                 [
@@ -178,15 +183,17 @@ def _encode(path: str):
             keys, payloads = [], []
             for _, payload in rows:
                 blob = payload.as_py()
-                block, n = struct.unpack_from("<qI", blob)
+                (block,) = struct.unpack_from("<q", blob)
+                places, sizes, words = _unpack_parts(blob[8:], 3)
                 answers = []
-                for word in _unpack_strings(blob[12 + 4 * n :]):
+                for word in _cut_up(words, unpack_varints(sizes)):
                     ids = known.get(word)
                     if ids is None:
                         ids = known[word] = np.array(encode(word), "<u4").tobytes()
                     answers.append(ids)
                 keys.append(block)
-                payloads.append(blob[8 : 12 + 4 * n] + _pack_strings(answers))
+                planes = np.frombuffer(b"".join(answers), np.uint8).reshape(-1, 4).T.tobytes()  # the upper bytes of ids are mostly alike
+                payloads.append(_pack_parts(places, pack_varints(_sizes(answers) // 4), planes))
             if keys:
                 yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(payloads, pa.binary())], ["key", "payload"])
 
@@ -202,21 +209,22 @@ def _reassemble(path: str):
         answers: list[bytes] = []
         for batch in right:
             for payload in batch.column("payload"):
-                blob = payload.as_py()
-                (n,) = struct.unpack_from("<I", blob)
-                where.append(np.frombuffer(blob, "<u4", n, 4))
-                answers += _unpack_strings(blob[4 + 4 * n :])
+                places, sizes, planes = _unpack_parts(payload.as_py(), 3)
+                where.append(np.cumsum(unpack_varints(places)))
+                ids = np.ascontiguousarray(np.frombuffer(planes, np.uint8).reshape(4, -1).T).tobytes()
+                answers += _cut_up(ids, unpack_varints(sizes) * 4)
         at = np.concatenate(where) if where else np.zeros(0, np.int64)
         encoded, decoded = [b""] * len(at), [b""] * len(at)
         for k, answer in zip(at.tolist(), answers):
             encoded[k] = answer
             decoded[k] = b"".join([token_bytes[i] for i in struct.unpack(f"<{len(answer) // 4}I", answer)])
+        unpacker = zstandard.ZstdDecompressor()
         for batch in left:
             docs, ids, texts = [], [], []
             for doc, bucket, payload in zip(batch.column("doc_id").to_pylist(), batch.column("bucket").to_pylist(), batch.column("payload")):
                 if bucket >= 0:
                     continue
-                steps = unpack_varints(payload.as_py()).tolist()
+                steps = unpack_varints(unpacker.decompress(payload.as_py())).tolist()
                 docs.append(doc)
                 ids.append(b"".join([encoded[k] for k in steps]))
                 texts.append(b"".join([decoded[k] for k in steps]))
