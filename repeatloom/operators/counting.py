@@ -16,6 +16,12 @@ def targets(regions: DataFrame) -> DataFrame:
     return regions.select("key", F.inline(every))
 
 
+def background_targets(norms: DataFrame) -> DataFrame:
+    """targets() of backgrounds, which may come without alternate intervals."""
+    named = norms.withColumnRenamed("norm_key", "key")
+    return targets(named) if "alt_regions" in norms.columns else named.select("key", "chrom", "start", "end")
+
+
 def hits(reads: DataFrame, intervals: DataFrame) -> DataFrame:
     """Distinct (sample, key, qname): mapped reads overlapping an interval of a key."""
     mapped = reads.where("not is_unmapped").select("sample", "qname", "chrom", "start", "end")
@@ -59,11 +65,11 @@ def gene_mode(reads: DataFrame, samples: DataFrame, regions: DataFrame, norms: D
     """Density ratios and predicted copies by host gene.
 
     regions: key, chrom, start, end, period, norm_key, alt_regions; norms: norm_key, chrom,
-    start, end. Returns sample, key, n_reads, n_background, density_ratio, predicted_copies.
+    start, end and, if reads there count too, alt_regions. Returns sample, key, n_reads, n_background, density_ratio, predicted_copies.
     """
     own = hits(reads, targets(regions))
     links = overlapping_regions(norms, regions.select("key", "chrom", "start", "end"))
-    wide = hits(reads, norms.select(F.col("norm_key").alias("key"), "chrom", "start", "end"))
+    wide = hits(reads, background_targets(norms))
     back, lengths = background(wide, own, links), effective_lengths(norms, links)
     size = F.col("end") - F.col("start")
     cells = read_counts(own, samples, regions).join(regions.select("key", "norm_key", "period", size.alias("length")), "key")
@@ -76,14 +82,22 @@ def gene_mode(reads: DataFrame, samples: DataFrame, regions: DataFrame, norms: D
     )
 
 
-def local_mode(reads: DataFrame, samples: DataFrame, regions: DataFrame, width: int) -> DataFrame:
-    """Density ratios and predicted copies by the flanks: a window of ``width`` on both sides, its regions left out."""
+def local_mode(reads: DataFrame, samples: DataFrame, regions: DataFrame, width: int, alternates: bool = True) -> DataFrame:
+    """Density ratios and predicted copies by the flanks: a window of ``width`` on both sides, its regions left out.
+
+    Alternate intervals are widened too; without ``alternates`` only the primary one is.
+    """
     start, end = window(F.col("start"), F.col("end"), width)
-    windows = regions.select(F.col("key").alias("norm_key"), "chrom", start.alias("start"), end.alias("end"))
+
+    def widened(a):
+        lo, hi = window(a["start"], a["end"], width)
+        return F.struct(a["chrom"].alias("chrom"), lo.alias("start"), hi.alias("end"))
+
+    windows = regions.select(F.col("key").alias("norm_key"), "chrom", start.alias("start"), end.alias("end"), *([F.transform("alt_regions", widened).alias("alt_regions")] if alternates else []))
     plain = regions.select("key", "chrom", "start", "end")
     links = overlapping_regions(windows, plain)
     own = hits(reads, targets(regions))
-    wide = hits(reads, windows.select(F.col("norm_key").alias("key"), "chrom", "start", "end"))
+    wide = hits(reads, background_targets(windows))
     back = background(wide, own, links)
     others = links.where("norm_key <> key").groupBy("norm_key").agg(F.sum("bp").alias("lost"))
     cells = read_counts(own, samples, regions).join(regions.select("key", "period", (F.col("end") - F.col("start")).alias("length")), "key")

@@ -106,7 +106,7 @@ def density_ratio_gene(spark, d):
     "full_ as (select c.sample, c.k, n_reads, g.s, g.e, period, el, n_back from counts c join regions g using (k) left join lens on lens.nk = c.k left join back b on b.sample = c.sample and b.nk = c.k) " + _RATIO
 )
 def density_ratio_local(spark, d):
-    return counting.local_mode(reads(spark, d), samples(spark, d), regions(spark, d), WINDOW)
+    return counting.local_mode(reads(spark, d), samples(spark, d), regions(spark, d), WINDOW, alternates=False)
 
 
 @query(_GENE.rstrip(", ") + " select nk as norm_key, el::bigint as effective_length from lens")

@@ -75,3 +75,15 @@ def test_histogram_and_p_value(spark):
     df = spark.createDataFrame([(x,) for x in (6, 7, 100, 101)], "x int")
     assert {r.bin: r.n for r in stats.histogram(df, "x", 7, 100, 50).collect() if r.n} == {1: 1, 50: 1}
     assert stats.p_value(0.5, 10) == pytest.approx(0.141113, abs=1e-6)
+
+
+def test_backgrounds_take_alternates(spark):
+    """A read in an alternate's flank, and one in a background's alternate, count as background."""
+    regions = spark.createDataFrame([(1, "chr5", 100, 200, 10, "G", [("alt", 30, 60)]), (2, "chr6", 100, 200, 10, "H", None)], REGION)
+    rows = [("s", "a", "chr5", 110, 120, False), ("s", "b", "alt", 0, 5, False), ("s", "c", "alt", 100, 105, False), ("s", "d", "alt", 40, 50, False), ("s", "e", "alt", 115, 120, False), ("s", "f", "chr5", 60, 70, False)]
+    reads = spark.createDataFrame(rows, "sample string, qname string, chrom string, start long, end long, is_unmapped boolean")
+    samples = reads.select("sample").distinct()
+    assert {r.key: (r.n_reads, r.n_background) for r in counting.local_mode(reads, samples, regions, 50).collect()} == {1: (2, 3), 2: (0, 0)}
+    assert {r.key: r.n_background for r in counting.local_mode(reads, samples, regions, 50, alternates=False).collect()} == {1: 1, 2: 0}
+    norms = spark.createDataFrame([("G", "chr5", 0, 1000, [("alt", 90, 130)]), ("H", "chr6", 0, 1000, None)], "norm_key string, chrom string, start long, end long, alt_regions array<struct<chrom:string,start:bigint,end:bigint>>")
+    assert {r.key: r.n_background for r in counting.gene_mode(reads, samples, regions, norms).collect()} == {1: 3, 2: 0}
