@@ -54,7 +54,8 @@ def nearest_gene(regions: DataFrame, genes: DataFrame) -> DataFrame:
     marks = r.select("chrom", F.col("end").alias("pos"), F.lit(0).alias("tag"), "key", "start", "end", none.alias("g")).unionByName(
         g.select("chrom", F.col("g_start").alias("pos"), F.lit(1).alias("tag"), none.alias("key"), none.alias("start"), none.alias("end"), F.col("g_start").cast("long").alias("g"))
     )
-    ahead = Window.partitionBy("chrom").orderBy("pos", "tag").rowsBetween(0, Window.unboundedFollowing)
+    # From the right, as a frame with an open end is computed anew for each row.
+    ahead = Window.partitionBy("chrom").orderBy(F.desc("pos"), F.desc("tag")).rowsBetween(Window.unboundedPreceding, 0)
     right = marks.withColumn("g_start", F.min("g").over(ahead)).where("tag = 0 and g_start is not null")
     right = right.select("chrom", "key", "start", "end", "g_start").join(g, ["chrom", "g_start"])
 

@@ -30,8 +30,10 @@ def samples(spark, d):
     return _t(spark, d, "lineitem").select(F.col("l_returnflag").alias("sample")).distinct()
 
 
-def regions(spark, d):
-    p = _t(spark, d, "part").where("p_partkey <= 1000")
+def regions(spark, d, whole=False):
+    """Parts as regions; without ``whole`` only the keys that SQL_REGIONS takes."""
+    p = _t(spark, d, "part")
+    p = p if whole else p.where("p_partkey <= 1000")
     alt = F.array(F.struct(((F.col("p_partkey") + 1) % 5).cast("string").alias("chrom"), (F.col("p_partkey") + 30).alias("start"), (F.col("p_partkey") + 40).alias("end")))
     return p.select(
         F.col("p_partkey").alias("key"), (F.col("p_partkey") % 5).cast("string").alias("chrom"), F.col("p_partkey").alias("start"), (F.col("p_partkey") + F.col("p_size")).alias("end"),
@@ -45,8 +47,18 @@ def norms(spark, d):
     return keys.select("norm_key", (F.col("norm_key") % 5).cast("string").alias("chrom"), (F.col("norm_key") * 100).alias("start"), (F.col("norm_key") * 100 + 150).alias("end"))
 
 
-def genes(spark, d):
-    o = _t(spark, d, "orders").where("o_orderkey % 40 = 0")
+def whole_norms(spark, d):
+    """The backgrounds of all regions, each third with an alternate interval."""
+    n = regions(spark, d, whole=True).select("norm_key").distinct()
+    start = F.col("norm_key") * 100
+    alt = F.array(F.struct(((F.col("norm_key") + 1) % 5).cast("string").alias("chrom"), (start + 30).alias("start"), (start + 60).alias("end")))
+    return n.select("norm_key", (F.col("norm_key") % 5).cast("string").alias("chrom"), start.alias("start"), (start + 150).alias("end"), F.when(F.col("norm_key") % 3 == 0, alt).alias("alt_regions"))
+
+
+def genes(spark, d, whole=False):
+    """Orders as genes; without ``whole`` only the keys that SQL_GENES takes."""
+    o = _t(spark, d, "orders")
+    o = o if whole else o.where("o_orderkey % 40 = 0")
     return o.select((F.col("o_custkey") % 5).cast("string").alias("chrom"), (F.col("o_orderkey") % 20000).alias("start"), (F.col("o_orderkey") % 20000 + F.col("o_custkey") % 90 + 1).alias("end"), F.concat(F.lit("g"), F.col("o_orderkey").cast("string")).alias("gene_name"), (F.col("o_orderstatus") == "O").alias("is_coding"))
 
 
@@ -143,6 +155,48 @@ def region_select_or(spark, d):
     return picked.select("key", "name", "gene")
 
 
+# The same plans over all parts and orders; tests compare them with a brute-force version.
+
+
+@query()
+def overlap_read_count_whole(spark, d):
+    r = regions(spark, d, whole=True)
+    return counting.read_counts(counting.hits(reads(spark, d), counting.targets(r)), samples(spark, d), r)
+
+
+@query()
+def density_ratio_gene_whole(spark, d):
+    return counting.gene_mode(reads(spark, d), samples(spark, d), regions(spark, d, whole=True), whole_norms(spark, d))
+
+
+@query()
+def density_ratio_local_whole(spark, d):
+    return counting.local_mode(reads(spark, d), samples(spark, d), regions(spark, d, whole=True), WINDOW)
+
+
+@query()
+def gene_eff_len_whole(spark, d):
+    n = whole_norms(spark, d)
+    return counting.effective_lengths(n, counting.overlapping_regions(n, regions(spark, d, whole=True).select("key", "chrom", "start", "end")))
+
+
+@query()
+def nearest_gene_whole(spark, d):
+    return overlap.nearest_gene(regions(spark, d, whole=True), genes(spark, d, whole=True))
+
+
+@query()
+def max_overlap_gene_whole(spark, d):
+    return overlap.most_overlap(regions(spark, d, whole=True), genes(spark, d, whole=True))
+
+
+@query()
+def region_select_or_whole(spark, d):
+    r = regions(spark, d, whole=True)
+    seventh = [x[0] for x in r.where("key = 7").select("name").collect()]
+    return selection.select_regions(r, ["Brand#11", "Brand#22"], seventh).where("gene in ('Brand#11', 'Brand#22') or key = 7").select("key", "name", "gene")
+
+
 @query("select n_name as name, 0 as source from nation union all select case when n_name in (select n_name from nation) then n_name || '_UserSupplied' else n_name end, 1 from (select n_name from nation where n_nationkey < 5 union all select r_name || '*' from region)")
 def merge_rename(spark, d):
     n = _t(spark, d, "nation")
