@@ -1,10 +1,10 @@
 """Main text of HTML pages by tag-path ratios.
 
 A page is read as a sequence of text blocks, each with the path of tags from the root.
-Per path, text length, punctuation and link text are aggregated over its blocks; block
-values are smoothed over their neighbours, fused into one ratio and compared with a
-threshold. The blocks of passing paths, and the headings and lists in the same content
-element, make up the main text.
+Per path, text length, punctuation and link text are aggregated over its blocks; these
+are fused into one ratio, which is smoothed over neighbouring blocks and compared with a
+threshold. Elements and class names only weigh the ratio by fixed factors. The blocks that
+pass, and the headings and list items next to them, make up the main text.
 """
 
 from __future__ import annotations
@@ -21,6 +21,7 @@ from . import _text as X
 
 BLOCK_BYTES = 4_000_000
 THRESHOLD = 0.15  # of the largest fused ratio
+CONTENT, SIDE = 2, 1 / 64  # weights of content and of each of up to two side elements around a block
 
 TOKEN = re.compile(
     r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[(?P<cdata>.*?)(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)"""
@@ -34,6 +35,7 @@ VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "met
 RAW = {"script", "style", "title", "textarea", "noscript", "template", "iframe", "svg", "math", "object", "canvas", "xmp", "noembed", "noframes"}
 INLINE = {"a", "abbr", "b", "bdi", "bdo", "big", "cite", "code", "data", "del", "dfn", "em", "font", "i", "ins", "kbd", "label", "mark", "q", "ruby", "rb", "rt", "rp", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "wbr", "img"}
 ASIDE = {"nav", "footer", "aside", "form", "menu", "button", "select", "dialog", "fieldset", "head"}
+NEAR = {"h1", "h2", "h3", "h4", "h5", "h6", "li", "dt", "dd", "td", "th", "caption", "figcaption", "blockquote", "pre"}
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 ENDS_P = {"p", "div", "ul", "ol", "dl", "table", "section", "article", "aside", "header", "footer", "nav", "main", "form", "blockquote", "pre", "figure", "h1", "h2", "h3", "h4", "h5", "h6", "hr", "address", "fieldset", "menu"}
 PLAIN_HINT = re.compile(
@@ -45,25 +47,25 @@ PUNCTUATION = re.compile(r"[.,;:!?。、，！？؟…]")
 
 
 class Block:
-    __slots__ = ("path", "text", "links", "plain", "content", "root")
+    __slots__ = ("path", "text", "links", "sides", "content", "tag", "weight")
 
-    def __init__(self, path, text, links, plain, content, root):
-        self.path, self.text, self.links, self.plain, self.content, self.root = path, text, links, plain, content, root
+    def __init__(self, path, text, links, sides, content, tag):
+        self.path, self.text, self.links, self.sides, self.content, self.tag, self.weight = path, text, links, sides, content, tag, 1.0
 
 
 def blocks_of(page: str) -> list[Block]:
-    """Text blocks in page order, with path, link characters, and whether they stand in side matter or in content."""
-    stack: list[tuple[str, str, bool, bool, int]] = []  # tag, label, plain, content, number of the content element
+    """Text blocks in page order, with path, link characters, the side elements around them, and whether in content."""
+    stack: list[tuple[str, str, tuple, bool]] = []  # tag, label, side elements, content
     out: list[Block] = []
     words: list[str] = []
-    links, link_depth, roots, at, n = 0, 0, 0, 0, len(page)
+    links, link_depth, sides_met, at, n = 0, 0, 0, 0, len(page)
 
     def flush():
         nonlocal links
         text = " ".join(html.unescape("".join(words)).split())
         if text:
-            _, _, plain, content, root = stack[-1] if stack else ("", "", False, False, 0)
-            out.append(Block(tuple(s[1] for s in stack), text, links, plain, content, root))
+            tag, _, sides, content = stack[-1] if stack else ("", "", (), False)
+            out.append(Block(tuple(s[1] for s in stack), text, links, sides, content, tag))
         words.clear()
         links = 0
 
@@ -104,16 +106,16 @@ def blocks_of(page: str) -> list[Block]:
             stack.pop()
         while stack and stack[-1][0] in CLOSES.get(tag, ()):
             stack.pop()
-        _, _, plain, content, root = stack[-1] if stack else ("", "", False, False, 0)
+        _, _, sides, content = stack[-1] if stack else ("", "", (), False)
         names = " ".join(filter(None, (x for g in NAMED.findall(m["rest"] or "") for x in g)))
         own = tag in ("article", "main") or (bool(names) and tag not in ("html", "body") and bool(CONTENT_HINT.search(names)))
         side = tag in ASIDE or (tag == "header" and not content)
         if names and tag not in ("html", "body", "article", "main") and PLAIN_HINT.search(names):
             side = True
-        if own and not side and not content:
-            roots += 1
-            root = roots
-        stack.append((tag, f"{tag}.{names}" if side or own else tag, plain or side, content or own, root))
+        if side:
+            sides_met += 1
+            sides = (*sides, sides_met)
+        stack.append((tag, f"{tag}.{names}" if side or own else tag, sides, content or (own and not sides)))
     flush()
     return out
 
@@ -125,35 +127,46 @@ def main_text(page: str) -> str:
         return ""
     size = [len(b.text) for b in blocks]
     marks = [len(PUNCTUATION.findall(b.text)) for b in blocks]
-    smooth = lambda v: [(v[max(i - 1, 0)] + 2 * v[i] + v[min(i + 1, len(v) - 1)]) / 4 for i in range(len(v))]
-    size_s, marks_s = smooth(size), smooth(marks)
-    total = defaultdict(lambda: [0, 0.0, 0.0, 0, 0])
-    for b, s, p, raw in zip(blocks, size_s, marks_s, size):
+    total = defaultdict(lambda: [0, 0, 0, 0])
+    for b, chars, m in zip(blocks, size, marks):
         t = total[b.path]
         t[0] += 1
-        t[1] += s
-        t[2] += p
-        t[3] += min(b.links, raw)
-        t[4] += raw
-    fused = {}
-    for path, (n, s, p, links, raw) in total.items():
-        fused[path] = (s / n) * (1 + p / n) * (1 - links / max(raw, 1))
-    value = [0.0 if b.plain else fused[b.path] * (4 if b.content else 1) for b in blocks]
-    if any(v and b.content for v, b in zip(value, blocks)):
-        value = [v if b.content else 0.0 for v, b in zip(value, blocks)]
+        t[1] += chars
+        t[2] += m
+        t[3] += min(b.links, chars)
+    fused = {path: (s / n) * (1 + p / n) * (1 - links / s) for path, (n, s, p, links) in total.items()}
+    ratio = [fused[b.path] for b in blocks]
+    ratio = [min((ratio[max(i - 1, 0)] + 6 * v + ratio[min(i + 1, len(ratio) - 1)]) / 8, 2 * v) for i, v in enumerate(ratio)]
+    weigh(blocks)
+    value = [v * b.weight for v, b in zip(ratio, blocks)]
     most = max(value)
     if not most:
         return ""
     passing = [v >= THRESHOLD * most for v in value]
-    homes = {b.root for b, ok in zip(blocks, passing) if ok and b.root}
-    parents = {b.path[:-1] for b, ok in zip(blocks, passing) if ok}
-    kept = []
-    for b, ok in zip(blocks, passing):
-        near = b.root in homes if b.root else any(b.path[: len(p)] == p for p in parents if p)
-        links = b.links >= 0.8 * len(b.text) and not ok
-        if ok or (near and not b.plain and not links):
-            kept.append(b.text)
-    return " ".join(kept)
+    kept = list(passing)
+    for order in (range(len(blocks)), range(len(blocks) - 1, -1, -1)):
+        last = None  # the block before in this order, if it is kept
+        for i in order:
+            b = blocks[i]
+            if last and not passing[i] and beside(b, last):
+                kept[i] = True
+            last = b if kept[i] else None
+    return " ".join(b.text for b, k in zip(blocks, kept) if k)
+
+
+def weigh(blocks: list[Block]) -> None:
+    """Set the weights by hints."""
+    for b in blocks:
+        counted = len(b.sides)
+        b.weight = (CONTENT if b.content else 1) * SIDE ** min(counted, 2)
+
+
+def beside(b: Block, kept: Block) -> bool:
+    """Whether a heading or list item goes with a kept block next to it."""
+    if b.tag not in NEAR or b.weight < kept.weight or b.links >= 0.8 * len(b.text):
+        return False
+    home = kept.path[:-1]
+    return b.path[: len(home)] == home or kept.path[: len(b.path) - 1] == b.path[:-1]
 
 
 def extract(pages: DataFrame, column: str = "html") -> DataFrame:
