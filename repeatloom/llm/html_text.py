@@ -35,6 +35,7 @@ VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "met
 RAW = {"script", "style", "title", "textarea", "noscript", "template", "iframe", "svg", "math", "object", "canvas", "xmp", "noembed", "noframes"}
 INLINE = {"a", "abbr", "b", "bdi", "bdo", "big", "cite", "code", "data", "del", "dfn", "em", "font", "i", "ins", "kbd", "label", "mark", "q", "ruby", "rb", "rt", "rp", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "wbr", "img"}
 ASIDE = {"nav", "footer", "aside", "form", "menu", "button", "select", "dialog", "fieldset", "head"}
+WRAPS = {"form", "dialog", "fieldset", "header"}  # of these, those that may stand around the main text
 NEAR = {"h1", "h2", "h3", "h4", "h5", "h6", "li", "dt", "dd", "td", "th", "caption", "figcaption", "blockquote", "pre"}
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 ENDS_P = {"p", "div", "ul", "ol", "dl", "table", "section", "article", "aside", "header", "footer", "nav", "main", "form", "blockquote", "pre", "figure", "h1", "h2", "h3", "h4", "h5", "h6", "hr", "address", "fieldset", "menu"}
@@ -42,6 +43,7 @@ PLAIN_HINT = re.compile(
     r"(?:^|[\s_-])(?:ads?|advert\w*|sponsor\w*|promo\w*|banner|cookies?|consent|gdpr|notice|notification|alert|sidebar|side|widget|menu|nav\w*|footer|foot|masthead|breadcrumbs?|comments?|commentlist|disqus|replies|respond|related|recommend\w*|share|sharing|social|subscribe|newsletter|signup|login|popup|modal|overlay|search|pagination|pager|tags?|toolbar|skip|copyright|legal|contentinfo|complementary|navigation|header|top-?bar)(?:$|[\s_-])",
     re.I,
 )
+NEVER_HINT = re.compile(r"(?:^|[\s_-])(?:ads?|advert\w*|sponsor\w*|promo\w*|comments?|commentlist|disqus|replies|respond|cookies?|consent|gdpr|footer|foot|copyright|legal|related|recommend\w*|nav|navigation)(?:$|[\s_-])", re.I)
 CONTENT_HINT = re.compile(r"(?:^|[\s_-])(?:article|articlebody|main|content|post|entry|story|body-?text|text|maincontent)(?:$|[\s_-])", re.I)
 PUNCTUATION = re.compile(r"[.,;:!?。、，！？؟…]")
 
@@ -54,7 +56,11 @@ class Block:
 
 
 def blocks_of(page: str) -> list[Block]:
-    """Text blocks in page order, with path, link characters, the side elements around them, and whether in content."""
+    """Text blocks in page order, with path, link characters, the side elements around them, and whether in content.
+
+    A side element is a pair of its number and whether it can never hold the main text.
+    An <article> or <main> ends those around it that can.
+    """
     stack: list[tuple[str, str, tuple, bool]] = []  # tag, label, side elements, content
     out: list[Block] = []
     words: list[str] = []
@@ -110,11 +116,17 @@ def blocks_of(page: str) -> list[Block]:
         names = " ".join(filter(None, (x for g in NAMED.findall(m["rest"] or "") for x in g)))
         own = tag in ("article", "main") or (bool(names) and tag not in ("html", "body") and bool(CONTENT_HINT.search(names)))
         side = tag in ASIDE or (tag == "header" and not content)
+        never = tag in ASIDE and tag not in WRAPS
         if names and tag not in ("html", "body", "article", "main") and PLAIN_HINT.search(names):
             side = True
+            never = never or bool(NEVER_HINT.search(names))
+        if tag == "main":
+            sides = ()
+        elif tag == "article":
+            sides = tuple(x for x in sides if x[1])
         if side:
             sides_met += 1
-            sides = (*sides, sides_met)
+            sides = (*sides, (sides_met, never))
         stack.append((tag, f"{tag}.{names}" if side or own else tag, sides, content or (own and not sides)))
     flush()
     return out
@@ -155,9 +167,15 @@ def main_text(page: str) -> str:
 
 
 def weigh(blocks: list[Block]) -> None:
-    """Set the weights by hints."""
+    """Set the weights by hints; one that marks half of a page's unlinked text or more is not believed."""
+    total, held = 0, defaultdict(int)
+    for b in blocks:
+        loose = max(len(b.text) - b.links, 0)
+        total += loose
+        for x in b.sides:
+            held[x] += loose
     for b in blocks:
-        counted = len(b.sides)
+        counted = sum(x[1] or 2 * held[x] < total for x in b.sides)
         b.weight = (CONTENT if b.content else 1) * SIDE ** min(counted, 2)
 
 

@@ -19,3 +19,18 @@ def test_teaser_article_beside_plain_main_text():
 
 def test_ratio_decides_inside_an_article():
     assert main_text(f"<body>{NAV}<article><div>12 min</div><div class=x>{BODY}</div></article></body>") == TEXT
+
+
+def test_article_in_wrappers_named_like_side_matter():
+    for name in ("content-sidebar-wrap", "has-sidebar", "main-content with-sidebar"):
+        side = "<div class=sidebar><p>Follow us for more.</p></div>"
+        for inner in (f"<article>{BODY}</article>", f"<main>{BODY}</main>", f"<div>{BODY}</div>"):
+            assert main_text(f"<body>{NAV}<div class='{name}'>{inner}{side}</div><div>All rights.</div></body>") == TEXT, (name, inner)
+    for tag in ("form", "fieldset", "dialog"):
+        assert main_text(f"<body><{tag}>{NAV}<div>{BODY}</div></{tag}></body>") == TEXT
+
+
+def test_side_matter_stays_out():
+    comments = "<div class=comments>" + "<article class=comment-body><p>I saw it too, from the old bridge, and it was loud.</p></article>" * 6 + "</div>"
+    assert main_text(f"<body>{NAV}<article>{BODY}</article>{comments}<aside><p>{LONG[0]}</p></aside></body>") == TEXT
+    assert main_text("<body><aside><p>Only this side note, with some words, stands on the page.</p></aside></body>") != ""
