@@ -1,8 +1,7 @@
 """Format-preserving pseudonyms for personal data, in SQL functions only.
 
 Candidates are found by pattern and validated: card numbers by their check digit,
-addresses by their ranges, dates by the calendar, telephone numbers by the numbering
-plan. Each valid value is replaced by a keyed Feistel permutation of its own format, so
+addresses by their ranges, dates by the calendar; all telephone numbers count. Each valid value is replaced by a keyed Feistel permutation of its own format, so
 equal values get equal pseudonyms in all documents and different values different ones.
 E-mail addresses and access keys have no such format; they get keyed digests in the same
 alphabet.
@@ -24,11 +23,13 @@ PATTERNS = {
     "date": r"(?<![0-9./-])(?:[0-9]{4}([-/.])[0-9]{1,2}\1[0-9]{1,2}|[0-9]{1,2}([-/.])[0-9]{1,2}\2[0-9]{4})(?![0-9]|[./-][0-9])",
     "social": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
     "card": r"(?<![0-9.-])[0-9](?:[ -]?[0-9]){12,18}(?![0-9])",
+    "world": r"(?<![0-9.+])\+(?!1[ .-]?\(?[0-9]{3}\)?[ .-])[1-9][0-9]{0,2}(?:[ .-]?(?:\([0-9]{1,4}\)|[0-9]{1,12})){1,6}(?![0-9])",
+    "trunk": r"(?<![0-9.+-])(?:\(0[1-9][0-9]{1,4}\)[ ]?|0[1-9][0-9]{1,4}[ /-])[0-9]{3,8}(?:[ -][0-9]{2,5})?(?![0-9])|(?<![0-9.+-])0[1-9](?:[ .-][0-9]{2}){4}(?![0-9])",
     "phone": r"(?<![0-9.])(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{3}\) ?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}(?![0-9])",
 }
 ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
 #: Only texts in which this occurs are searched for candidates.
-HINT = r"[0-9]{3}|@|AKIA|ASIA|[0-9][./-][0-9]|[=:]"
+HINT = r"[0-9]{3}|\+[0-9]|0[1-9][ .-][0-9]{2}|@|AKIA|ASIA|[0-9][./-][0-9]|[=:]"
 
 FIRST_DAY, DAYS = "1900-01-01", (150, 487)  # 73,050 days, to 2100-01-01
 
@@ -136,17 +137,27 @@ def _date(hit: Column, key: str) -> Column:
 
 
 def _phone(hit: Column, key: str) -> Column:
-    """Area and exchange codes stay in 200 to 999: the number is a pair of values below 80,000."""
+    """Area and exchange codes of 200 to 999 stay such, as do those below 200: the number is a pair of values in their ranges."""
     digits = _digits(hit)
     head, own = F.substr(digits, F.lit(1), F.length(digits) - 10), F.right(digits, F.lit(10))
 
     def renewed(d: Column) -> Column:
         area, exchange, line = (F.substr(d, F.lit(i), F.lit(n)).cast("long") for i, n in ((1, 3), (4, 3), (7, 4)))
-        left, right = (area - 200) * 100 + F.floor(line / 100), (exchange - 200) * 100 + line % 100
-        out = feistel(left, right, (80_000, 80_000), F.lit("phone"), key)
-        return _let(out, lambda o: F.concat((F.floor(o["l"] / 100) + 200).cast("string"), (F.floor(o["r"] / 100) + 200).cast("string"), F.lpad((o["l"] % 100).cast("string"), 2, "0"), F.lpad((o["r"] % 100).cast("string"), 2, "0")))
+        base = lambda code: F.when(code >= 200, F.lit(200)).otherwise(F.lit(0))
+        size = lambda code: F.when(code >= 200, F.lit(80_000)).otherwise(F.lit(20_000)).cast("long")
+        left, right = (area - base(area)) * 100 + F.floor(line / 100), (exchange - base(exchange)) * 100 + line % 100
+        out = feistel(left, right, (size(area), size(exchange)), F.lit("phone"), key)
+        code = lambda x, c: F.lpad((F.floor(x / 100) + base(c)).cast("string"), 3, "0")
+        return _let(out, lambda o: F.concat(code(o["l"], area), code(o["r"], exchange), F.lpad((o["l"] % 100).cast("string"), 2, "0"), F.lpad((o["r"] % 100).cast("string"), 2, "0")))
 
-    return F.when(own.rlike("^[2-9]..[2-9]"), _let(F.concat(head, _let(own, renewed)), lambda n: _into(hit, n))).otherwise(hit)
+    return _let(F.concat(head, _let(own, renewed)), lambda n: _into(hit, n))
+
+
+def _abroad(hit: Column, key: str) -> Column:
+    """Other telephone numbers of 8 to 15 digits: the first two stay, the others are permuted."""
+    digits = _digits(hit)
+    new = _let(F.concat(F.left(digits, F.lit(2)), permute_digits(F.substr(digits, F.lit(3), F.length(digits)), "abroad", key)), lambda n: _into(hit, n))
+    return F.when(F.length(digits).between(8, 15), new).otherwise(hit)
 
 
 def _digest(value: Column, kind: str, key: str) -> Column:
@@ -174,6 +185,7 @@ def pseudonym(hit: Column, key: str) -> Column:
         .when(kind("social"), social)
         .when(kind("card"), _card(hit, key))
         .when(kind("phone"), _phone(hit, key))
+        .when(kind("world") | kind("trunk"), _abroad(hit, key))
         .otherwise(hit)
     )
 
