@@ -18,16 +18,18 @@ ROUNDS = 10
 PATTERNS = {
     "email": r"[A-Za-z0-9._%+-]{1,64}@[A-Za-z0-9][A-Za-z0-9.-]{0,250}\.[A-Za-z]{2,24}",
     "key": r"(?<![A-Za-z0-9])(?:AKIA|ASIA)[A-Z0-9]{16}(?![A-Za-z0-9])",
-    "secret": r"(?i:token|password|passwd|secret|api_key|apikey)\s?[=:]\s?\"?[A-Za-z0-9_+/-]{8,128}",
+    "secret": r"(?i:token|password|passwd|secret|api_key|apikey)\s?[=:]\s?\"?[A-Za-z0-9_+/-]{8,}",
     "address": r"(?<![0-9.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?![0-9]|\.[0-9])",
     "date": r"(?<![0-9./-])(?:[0-9]{4}([-/.])[0-9]{1,2}\1[0-9]{1,2}|[0-9]{1,2}([-/.])[0-9]{1,2}\2[0-9]{4})(?![0-9]|[./-][0-9])",
     "social": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
-    "card": r"(?<![0-9.-])[0-9](?:[ -]?[0-9]){12,18}(?![0-9])",
+    "card": r"(?<![0-9.-])[0-9](?:[ -]?[0-9]){12,199}(?![0-9])",
     "world": r"(?<![0-9.+])\+(?!1[ .-]?\(?[0-9]{3}\)?[ .-])[1-9][0-9]{0,2}(?:[ .-]?(?:\([0-9]{1,4}\)|[0-9]{1,12})){1,6}(?![0-9])",
     "trunk": r"(?<![0-9.+-])(?:\(0[1-9][0-9]{1,4}\)[ ]?|0[1-9][0-9]{1,4}[ /-])[0-9]{3,8}(?:[ -][0-9]{2,5})?(?![0-9])|(?<![0-9.+-])0[1-9](?:[ .-][0-9]{2}){4}(?![0-9])",
     "phone": r"(?<![0-9.])(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{3}\) ?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}(?![0-9])",
 }
 ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
+#: What is looked for in the rest of a candidate for a card.
+REST = "|".join(f"(?:{PATTERNS[p]})" for p in ("social", "phone", "trunk"))
 #: Only texts in which this occurs are searched for candidates.
 HINT = r"[0-9]{3}|\+[0-9]|0[1-9][ .-][0-9]{2}|@|AKIA|ASIA|[0-9][./-][0-9]|[=:]"
 
@@ -100,7 +102,47 @@ def _card(hit: Column, key: str) -> Column:
         return F.concat(body, F.pmod(-_luhn_sum(body, 0), F.lit(10)).cast("string"))
 
     new = _let(permute_digits(F.substr(digits, F.lit(1), F.length(digits) - 1), "card", key), fresh)
-    return F.when(_luhn_sum(digits, 1) % 10 == 0, _let(new, lambda n: _into(hit, n))).otherwise(hit)
+    return F.when(_is_card(digits), _let(new, lambda n: _into(hit, n))).otherwise(hit)
+
+
+def _is_card(digits: Column) -> Column:
+    return F.when(F.length(digits).between(13, 19), _luhn_sum(digits, 1) % 10 == 0).otherwise(F.lit(False))
+
+
+def _cut(text: Column, pattern: str) -> Column:
+    """text as an array: what matches, and what stands between."""
+    found, rest = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1)
+    return F.flatten(F.transform(rest, lambda r, i: F.array(r, F.coalesce(F.get(found, i), F.lit("")))))
+
+
+def _pieces(hit: Column) -> Column:
+    """A candidate for a card as an array of texts.
+
+    One that is no card whole is split at the valid cards in it, from the left, which begin
+    and end where digits do; what remains is split at social security and telephone numbers.
+    """
+    tokens = F.regexp_extract_all(hit, F.lit("[0-9]+|[ -]"), F.lit(0))
+    empty = F.array().cast("array<string>")
+    start = F.struct(empty.alias("done"), empty.alias("held"))
+
+    def step(state: Column, token: Column) -> Column:
+        def with_held(held: Column) -> Column:
+            span = lambda i: F.array_join(F.slice(held, i, F.size(held)), "")
+            first = F.greatest(F.lit(1), F.size(held) - 36)
+            starts = F.filter(F.sequence(first, F.size(held)), lambda i: F.get(held, i - 1).rlike("[0-9]") & _is_card(_digits(span(i))))
+            at = F.when(token.rlike("[0-9]"), F.get(starts, F.lit(0)))
+
+            def closed(i: Column) -> Column:
+                lead = F.array_join(F.slice(held, 1, F.coalesce(i, F.lit(1)) - 1), "")
+                found = F.struct(F.concat(state["done"], _cut(lead, REST), F.array(span(F.coalesce(i, F.lit(1))))).alias("done"), empty.alias("held"))
+                return F.when(i.isNotNull(), found).otherwise(F.struct(state["done"].alias("done"), held.alias("held")))
+
+            return _let(at, closed)
+
+        return _let(F.array_append(state["held"], token), with_held)
+
+    split = F.aggregate(tokens, start, step, lambda s: F.concat(s["done"], _cut(F.array_join(s["held"], ""), REST)))
+    return F.when(hit.rlike(f"^(?:{PATTERNS['card']})$") & ~_is_card(_digits(hit)), split).otherwise(F.array(hit))
 
 
 def _address(hit: Column, key: str) -> Column:
@@ -167,7 +209,10 @@ def _digest(value: Column, kind: str, key: str) -> Column:
 def _secret(hit: Column, key: str) -> Column:
     value = F.regexp_extract(hit, r"[=:]\s?\"?([A-Za-z0-9_+/-]+)$", 1)
     lead = F.substr(hit, F.lit(1), F.length(hit) - F.length(value))
-    return F.when(value.rlike("[0-9]"), F.concat(lead, F.left(F.concat(_digest(value, "secret", key), _digest(value, "more", key)), F.length(value)))).otherwise(hit)
+    blocks = F.sequence(F.lit(0), F.floor(F.length(value) / 64).cast("int"))
+    kind = lambda i: F.when(i == 0, "secret").when(i == 1, "more").otherwise(F.concat(F.lit("more"), i.cast("string")))
+    digest = lambda i: F.sha2(F.concat_ws("|", F.lit(key), kind(i), value), 256)
+    return F.when(value.rlike("[0-9]"), F.concat(lead, F.left(F.array_join(F.transform(blocks, digest), ""), F.length(value)))).otherwise(hit)
 
 
 def pseudonym(hit: Column, key: str) -> Column:
@@ -200,11 +245,14 @@ def pseudonymise(docs: DataFrame, key: str = "repeatloom", column: str = "text")
     text = F.col(column)
     hits = F.regexp_extract_all(text, F.lit(ANY), F.lit(0))
     rest = F.split(text, ANY, -1)
-    pairs = F.transform(hits, lambda h: F.struct(h.alias("old"), pseudonym(h, key).alias("new")))
-    searched = F.when(text.rlike(HINT), F.struct(rest.alias("rest"), pairs.alias("pairs")))
+    known = lambda h: F.transform(_pieces(h), lambda p: F.struct(p.alias("old"), pseudonym(p, key).alias("new")))
+    plain = lambda r: F.array(F.struct(r.alias("old"), r.alias("new")))
+    # Every text between candidates, each with the pieces of the candidate after it.
+    pairs = F.concat(F.flatten(F.transform(hits, lambda h, i: F.concat(plain(F.get(rest, i)), known(h)))), plain(F.element_at(rest, -1)))
+    searched = F.when(text.rlike(HINT), F.struct(F.size(hits).alias("n"), pairs.alias("pairs")))
     found = docs.withColumn("__found", searched)
     f = F.col("__found")
-    joined = F.array_join(F.transform(f["rest"], lambda part, i: F.concat(part, F.coalesce(F.get(f["pairs"], i)["new"], F.lit("")))), "")
+    joined = F.array_join(F.transform(f["pairs"], lambda p: p["new"]), "")
     count = F.coalesce(F.size(F.filter(f["pairs"], lambda p: p["old"] != p["new"])), F.lit(0)).cast("long")
-    changed = f.isNotNull() & (F.size(f["pairs"]) > 0)
+    changed = f.isNotNull() & (f["n"] > 0)
     return found.withColumn("n_values", F.when(f.isNotNull(), count).otherwise(F.lit(0).cast("long"))).withColumn(column, F.when(changed, joined).otherwise(text)).drop("__found")
