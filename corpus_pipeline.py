@@ -5,11 +5,12 @@ from __future__ import annotations
 import uuid
 
 import public_tokenizers
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from repeatloom.llm import byte_bpe, decontaminate, ngram_join, pii, quality
-from repeatloom.llm._staging import shared_folder
+from repeatloom.llm._staging import shared_folder, stage
 from repeatloom.llm.queries import token_digests
 
 
@@ -18,11 +19,26 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return quality.keep_good(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
+def _keyed(docs: DataFrame) -> DataFrame:
+    """docs with a key of each row in __row: of its file and place there, so that all reads agree."""
+    key = F.xxhash64("_metadata.file_path", "_metadata.row_index")
+    try:
+        return docs.select("*", key.alias("__row"))
+    except AnalysisException:  # not read from files
+        return stage(docs).select("*", key.alias("__row"))
+
+
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates the document with the smallest doc_id; documents without a doc_id stay."""
-    found = ngram_join.near_duplicates(docs)
-    keepers = found.where("doc_id = component_id").select("doc_id").distinct()
-    return docs.join(keepers, "doc_id", "left_semi").unionByName(docs.where("doc_id is null"))
+    """Of each group of near duplicates one row, of the smallest doc_id; a null one only where no row has another.
+
+    Rows whose text is null or without words are in no group, and all stay.
+    """
+    keyed = _keyed(docs)
+    found = ngram_join.near_duplicates(keyed.select(F.col("__row").alias("doc_id"), "text"))
+    groups = found.select(F.col("doc_id").alias("__row"), "component_id").join(keyed.select("__row", "doc_id"), "__row")
+    keeper = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "__row")).alias("k")
+    keepers = groups.groupBy("component_id").agg(keeper).select("k.__row")
+    return keyed.join(keepers, "__row", "left_semi").select(docs.columns)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -49,15 +65,15 @@ STAGES = [
     ("byte-level BPE encoding and decoding", encoding_stage),
 ]
 
-#: The classifier's fit and the tokenizer can't be expressed in SQL; tests compare run() with a brute-force version.
+#: The classifier's fit and the tokenizer can't be expressed in SQL; tests compare only the near-duplicate stage with a brute-force version.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Apply STAGES to documents; each stage's result is written as Parquet and read again."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
+    for _, step in STAGES:
         path = f"{shared_folder(spark)}/corpus-{uuid.uuid4().hex}"
-        stage(spark, docs, sf_dir).write.parquet(path)
+        step(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
     return docs

@@ -1,0 +1,39 @@
+import random
+
+import corpus_pipeline
+
+SCHEMA = "doc_id long, text string, n_chars long"
+
+
+def shingles(text):
+    w = (text or "").split()
+    return {tuple(w[i : i + 5]) for i in range(max(len(w) - 4, 1))} if w else set()
+
+
+def kept(rows):
+    """Per group the row of the smallest doc_id, by brute force."""
+    group = list(range(len(rows)))
+    sets = [shingles(r[1]) for r in rows]
+    for i in range(len(rows)):
+        for j in range(i):
+            if sets[i] and sets[j] and len(sets[i] & sets[j]) >= 0.75 * len(sets[i] | sets[j]):
+                group = [group[j] if g == group[i] else g for g in group]
+    best = {}
+    for r, g in zip(rows, group):
+        best[g] = min(best.get(g, r), r, key=lambda r: (r[0] is None, r[0] or 0))
+    return sorted(r[0] or -1 for r in best.values())
+
+
+def test_near_duplicate_stage_keeps_one_row_of_each_group(spark, tmp_path):
+    rng = random.Random(5)
+    text = lambda: " ".join(rng.choices("abcdefghijklmnop", k=60))
+    near = lambda t: t + " z"
+    a, b, c, d, e = (text() for _ in range(5))
+    rows = [(1, a), (1, a), (1, near(a)), (2, a), (None, a), (None, b), (None, b), (None, near(b)), (5, c), (4, near(c)), (7, d), (7, e), (8, None), (8, None), (None, ""), (9, text())]
+    rows = [(k, t, len(t or "")) for k, t in rows]
+    frame = spark.createDataFrame(rows, SCHEMA)
+    frame.repartition(3).write.parquet(str(tmp_path / "docs"))
+    for docs in (spark.read.parquet(str(tmp_path / "docs")), frame):
+        out = corpus_pipeline.near_duplicate_stage(spark, docs, "")
+        assert out.columns == docs.columns
+        assert sorted(r.doc_id or -1 for r in out.collect()) == kept(rows)
