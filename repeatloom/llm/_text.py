@@ -6,7 +6,7 @@ hashing cost a few array passes per character instead of a Python call per word.
 
 from __future__ import annotations
 
-import unicodedata
+import hashlib
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -19,23 +19,24 @@ U64 = np.uint64
 #: Classes of code points: letters (L*), numbers (N*), white space, everything else.
 LETTER, NUMBER, OTHER, SPACE = 0, 1, 2, 3
 
-# The code points with the Unicode property White_Space.
-WHITE_SPACE = [
-    *range(0x09, 0x0E), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B),
-    0x2028, 0x2029, 0x202F, 0x205F, 0x3000,
-]
-
 
 @lru_cache(1)
 def char_classes() -> np.ndarray:
-    """Class of every code point."""
+    """Class of every code point, as the tokenizer library's own pattern engine has it.
+
+    A pattern of one class is matched against all code points, and what it finds comes back
+    as bytes; so the table follows the library's Unicode version and not Python's.
+    """
+    import tiktoken
+
     table = np.full(0x110000, OTHER, np.uint8)
-    letters = {"L": LETTER, "N": NUMBER}
-    for cp in range(0x110000):
-        kind = letters.get(unicodedata.category(chr(cp))[0])
-        if kind is not None:
-            table[cp] = kind
-    table[WHITE_SPACE] = SPACE
+    single = {bytes([b]): b for b in range(256)}
+    for kind, pattern in ((LETTER, r"\p{L}"), (NUMBER, r"\p{N}"), (SPACE, r"\s")):
+        finder = tiktoken.Encoding("class", pat_str=pattern, mergeable_ranks=single, special_tokens={})
+        for first in range(0, 0x110000, 1 << 15):
+            every = "".join(chr(c) for c in range(first, first + (1 << 15)) if not 0xD800 <= c < 0xE000)
+            found = bytes(finder.encode_ordinary(every)).decode()
+            table[np.frombuffer(found.encode("utf-32-le"), np.uint32)] = kind
     return table
 
 
@@ -144,71 +145,91 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h
 
 
-@lru_cache(4)
-def _symbols(seed: int) -> tuple[np.ndarray, int]:
-    rng = np.random.Generator(np.random.PCG64(seed))
-    table = rng.integers(0, 2**64, 65536, U64)
-    return table, int(rng.integers(0, 2**63)) * 8 + 5
+GOLDEN = 0x9E3779B97F4A7C15
+#: Slices of more bytes are hashed one by one with a keyed digest.
+LONG = 512
+#: n-grams hashed at a time, which bounds intermediate arrays.
+CHUNK = 1 << 16
+
 
+def _start(seed: int) -> np.uint64:
+    return mix(np.array([(seed + 1) * GOLDEN % 2**64], U64))[0]
 
-_powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
+def _as_lanes(symbols: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The array's bytes, and the eight bytes from each place on as one number (zeros after the end)."""
+    raw = np.zeros(symbols.nbytes + 8, np.uint8)
+    raw[:-8] = np.ascontiguousarray(symbols).view(np.uint8)
+    return raw, np.ndarray((len(raw) - 7,), "<u8", raw, 0, (1,))
 
-def _power_tables(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """base**i and base**-i modulo 2**64 for i < n."""
-    have = _powers.get(base)
-    if have is None or len(have[0]) < n:
-        size = max(1 << 20, 1 << (n - 1).bit_length())
-        if len(_powers) > 8:
-            _powers.clear()
 
-        def powers(x: int) -> np.ndarray:
-            out = np.ones(size, U64)
-            k, p = 1, x % 2**64
-            while k < size:
-                out[k : 2 * k] = out[:k] * U64(p)
-                k, p = 2 * k, p * p % 2**64
-            return out
+def _lane(lanes: np.ndarray, at: np.ndarray, left: np.ndarray) -> np.ndarray:
+    """Eight bytes from each place, of which only ``left`` belong to the slice."""
+    value = lanes[at].astype(U64)
+    short = np.flatnonzero(left < 8)
+    value[short] &= (U64(1) << (left[short].astype(U64) * U64(8))) - U64(1)
+    return value
 
-        have = _powers[base] = powers(base), powers(pow(base, -1, 2**64))
-    return have
 
+def slice_hashes(symbols: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int = 1) -> np.ndarray:
+    """64-bit hashes of slices of an array of bytes, code points or hashes.
 
-def span_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, base: int) -> np.ndarray:
-    """Polynomial hashes modulo 2**64 of values[start:end], whatever their place."""
-    up, down = _power_tables(base, len(values) + 1)
-    total = np.zeros(len(values) + 1, U64)
-    np.cumsum(values * up[: len(values)], out=total[1:])
-    return (total[ends] - total[starts]) * down[starts]
+    Eight bytes at a time go through the mixer, so that no algebraic relation of two slices
+    makes them collide; long slices get a keyed digest.
+    """
+    raw, lanes = _as_lanes(symbols)
+    width = symbols.itemsize
+    at, size = np.asarray(starts, np.int64) * width, (np.asarray(ends, np.int64) - starts) * width
+    out = mix(size.astype(U64) * U64(GOLDEN) ^ _start(seed))
+    short = size <= LONG
+    live = np.flatnonzero(short & (size > 0))
+    done = 0
+    while len(live):
+        out[live] = mix(out[live] ^ _lane(lanes, at[live] + done, size[live] - done))
+        done += 8
+        live = live[size[live] > done]
+    key = seed.to_bytes(8, "little")
+    for i in np.flatnonzero(~short).tolist():
+        out[i] = int.from_bytes(hashlib.blake2b(raw[at[i] : at[i] + size[i]], digest_size=8, key=key).digest(), "little")
+    return out
 
 
-#: Symbols hashed at a time, which bounds the power tables and intermediate arrays.
-CHUNK = 1 << 19
+def equal_slices(symbols: np.ndarray, first: np.ndarray, second: np.ndarray, lengths: np.ndarray) -> bool:
+    """Whether each slice that begins at first holds the same symbols as the one, as long, at second."""
+    raw, lanes = _as_lanes(symbols)
+    width = symbols.itemsize
+    live = np.flatnonzero(first != second)
+    a, b, size = first[live] * width, second[live] * width, lengths[live] * width
+    long = size > LONG
+    for i, j, n in zip(a[long].tolist(), b[long].tolist(), size[long].tolist()):
+        if not np.array_equal(raw[i : i + n], raw[j : j + n]):
+            return False
+    a, b, size = a[~long], b[~long], size[~long]
+    while len(a):
+        if (_lane(lanes, a, size) != _lane(lanes, b, size)).any():
+            return False
+        more = size > 8
+        a, b, size = a[more] + 8, b[more] + 8, size[more] - 8
+    return True
 
 
-def slice_hashes(symbols: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int = 1) -> np.ndarray:
-    """64-bit hashes of slices of an array of bytes, code points or hashes; slices are in order and don't overlap."""
-    out, i = np.empty(len(starts), U64), 0
-    while i < len(starts):
-        low = starts[i]
-        j = max(i + 1, int(np.searchsorted(ends, low + CHUNK, "right")))
-        out[i:j] = _slice_hashes(symbols[low : ends[j - 1]], starts[i:j] - low, ends[i:j] - low, seed)
-        i = j
-    return out
+def _joined(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return mix(a * U64(0xD6E8FEB86659FD93) + b)
 
 
-def _slice_hashes(symbols, starts, ends, seed):
-    table, base = _symbols(seed)
-    if symbols.dtype == np.uint8:
-        values = table[symbols]
-    elif symbols.dtype == U64:
-        values = symbols
-    else:
-        values = table[symbols & 0xFFFF]
-        high = symbols >> 16
-        if high.any():
-            values = values + mix(high.astype(U64) * U64(0x9E3779B97F4A7C15))
-    return mix(span_hashes(values, starts, ends, base) + (ends - starts).astype(U64) * U64(0x9E3779B97F4A7C15))
+def _ngrams(words: np.ndarray, n: int, start: np.uint64) -> np.ndarray:
+    """Hashes of n consecutive words from those of runs of 1, 2, 4 ... words."""
+    count = len(words) - n + 1
+    runs, size, taken, out = mix(words ^ start), 1, 0, None
+    while size <= n:
+        if n & size:
+            part = runs[taken : taken + count]
+            out = part if out is None else _joined(out, part)
+            taken += size
+        if 2 * size <= n:
+            runs = _joined(runs[:-size], runs[size:])
+        size *= 2
+    return out
 
 
 def ngram_hashes(words: np.ndarray, n: int, seed: int = 1) -> np.ndarray:
@@ -216,11 +237,9 @@ def ngram_hashes(words: np.ndarray, n: int, seed: int = 1) -> np.ndarray:
     count = len(words) - n + 1
     if count <= 0:
         return np.zeros(0, U64)
-    _, base = _symbols(seed + 100)
-    out = np.empty(count, U64)
+    start, out = _start(seed + 100), np.empty(count, U64)
     for i in range(0, count, CHUNK):
-        at = np.arange(min(CHUNK, count - i))
-        out[i : i + CHUNK] = mix(span_hashes(words[i : i + len(at) + n - 1], at, at + n, base))
+        out[i : i + CHUNK] = _ngrams(words[i : i + CHUNK + n - 1], n, start)
     return out
 
 

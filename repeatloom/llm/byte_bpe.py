@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import _text as X
-from ._staging import parts, text_bytes
+from ._staging import parts, replayable, text_bytes
 
 BLOCK_BYTES = 4_000_000
 BUCKET_BYTES = 16_000_000
@@ -39,19 +39,24 @@ _RESULT = "doc_id long, n_tokens long, ids array<int>, decoded binary"
 def load_ranks(path: str) -> dict[bytes, int]:
     """Token bytes to rank, from a file of base64 tokens and ranks."""
     with open(path, "rb") as lines:
-        return {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
+        return parse_ranks(lines.read())
+
+
+def parse_ranks(content: bytes) -> dict[bytes, int]:
+    return {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, content.splitlines())}
 
 
 @lru_cache(2)
-def _encoder(path: str):
+def _encoder(content: bytes):
+    """The library's encoding of single pieces, and the bytes of each token."""
     import tiktoken
 
-    ranks = load_ranks(path)
-    core = tiktoken.Encoding("ranks", pat_str=r"\s+|\S+", mergeable_ranks=ranks, special_tokens={})._core_bpe
+    ranks = parse_ranks(content)
+    encoding = tiktoken.Encoding("pieces", pat_str=r"(?s).+", mergeable_ranks=ranks, special_tokens={})
     table = [b""] * (max(ranks.values()) + 1)
     for token, rank in ranks.items():
         table[rank] = token
-    return core.encode_single_piece, table
+    return encoding.encode_ordinary, table
 
 
 def pack_varints(values: np.ndarray) -> bytes:
@@ -101,14 +106,14 @@ def _sizes(items: list[bytes]) -> np.ndarray:
 def distinct_pieces(cps: np.ndarray, starts: np.ndarray, ends: np.ndarray, joined: str) -> tuple[list[str], np.ndarray]:
     """The distinct pieces, the most frequent first, and each piece's index among them.
 
-    Pieces are told apart by hash; a block in which two pieces should share a hash is
-    told apart by comparing the strings.
+    Pieces are grouped by hash and every piece is compared with the first of its group; a
+    block in which two pieces should share a hash is told apart by the strings instead.
     """
     hashes = X.slice_hashes(cps, starts, ends)
     _, where, index, counts = np.unique(hashes, return_index=True, return_inverse=True, return_counts=True)
     lengths = ends - starts
-    second = X.slice_hashes(cps, starts, ends, 2)
-    if (lengths != lengths[where][index]).any() or (second != second[where][index]).any():
+    first = where[index]
+    if (lengths != lengths[first]).any() or not X.equal_slices(cps, starts, starts[first], lengths):
         seen: dict[str, int] = {}
         index = np.array([seen.setdefault(joined[a:b], len(seen)) for a, b in zip(starts.tolist(), ends.tolist())])
         return list(seen), index
@@ -126,7 +131,7 @@ def _cut(n_buckets: int):
     def run(batches):
         task = TaskContext.get().partitionId()
         for number, block in enumerate(X.text_blocks(batches, BLOCK_BYTES)):
-            key = (task << 24) + number
+            key = (task << 24) + number  # as the rows are replayable, a task that runs again numbers its blocks alike
             texts = [t or "" for t in block.column("text").to_pylist()]
             joined = "".join(texts)
             cps, offsets = X.code_points(texts)
@@ -172,11 +177,11 @@ def _cut(n_buckets: int):
     return run
 
 
-def _encode(path: str):
+def _encode(held):
     """Encode each distinct word of a bucket once; an answer row for every block that holds some of its words."""
 
     def run(key, batches):
-        encode, _ = _encoder(path)
+        encode, _ = _encoder(held.value)
         known: dict[bytes, bytes] = {}
         for batch in batches:
             rows = [(b, p) for b, p in zip(batch.column("bucket").to_pylist(), batch.column("payload")) if b >= 0]
@@ -189,7 +194,7 @@ def _encode(path: str):
                 for word in _cut_up(words, unpack_varints(sizes)):
                     ids = known.get(word)
                     if ids is None:
-                        ids = known[word] = np.array(encode(word), "<u4").tobytes()
+                        ids = known[word] = np.array(encode(word.decode("utf-8", "surrogatepass")), "<u4").tobytes()
                     answers.append(ids)
                 keys.append(block)
                 planes = np.frombuffer(b"".join(answers), np.uint8).reshape(-1, 4).T.tobytes()  # the upper bytes of ids are mostly alike
@@ -200,11 +205,11 @@ def _encode(path: str):
     return run
 
 
-def _reassemble(path: str):
+def _reassemble(held):
     """Join the ids back to the documents of a block, by position, and decode them again."""
 
     def run(key, left, right):
-        _, token_bytes = _encoder(path)
+        _, token_bytes = _encoder(held.value)
         where: list[np.ndarray] = []
         answers: list[bytes] = []
         for batch in right:
@@ -243,9 +248,11 @@ def encode_decode(docs: DataFrame, ranks_path: str) -> DataFrame:
     null doc_id stays null; other columns are ignored; an empty table gives an empty
     result. Very long texts form a block of their own.
     """
+    docs = replayable(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"))
+    with open(ranks_path, "rb") as file:
+        held = docs.sparkSession.sparkContext.broadcast(file.read())
     total = text_bytes(docs)
     n_buckets, n_blocks = parts(total, BUCKET_BYTES), parts(total, BLOCK_BYTES)
-    cut = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_cut(n_buckets), _PARTS)
-    dealt = cut.repartition(n_buckets + n_blocks, "key")
-    answers = dealt.groupBy("key").applyInArrow(X.on_tables(_encode(ranks_path), _ANSWER), "key long, payload binary")
-    return dealt.groupBy("key").cogroup(answers.groupBy("key")).applyInArrow(X.on_tables(_reassemble(ranks_path), _OUT), _RESULT)
+    dealt = docs.mapInArrow(_cut(n_buckets), _PARTS).repartition(n_buckets + n_blocks, "key")
+    answers = dealt.groupBy("key").applyInArrow(X.on_tables(_encode(held), _ANSWER), "key long, payload binary")
+    return dealt.groupBy("key").cogroup(answers.groupBy("key")).applyInArrow(X.on_tables(_reassemble(held), _OUT), _RESULT)

@@ -54,8 +54,7 @@ def shingle_sets(texts: list[bytes], words: int = WORDS) -> list[np.ndarray]:
         if b - a >= words:
             out.append(np.unique(grams[a : b - words + 1]))
         elif b > a:
-            short = hashes[a:b] * np.array([3, 5, 7, 11][: b - a], U64)
-            out.append(X.mix(short.sum(dtype=U64, keepdims=True) + U64(b - a)))
+            out.append(X.ngram_hashes(hashes[a:b], b - a, 10 + b - a))  # seeds apart from that of whole shingles
         else:
             out.append(np.zeros(0, U64))
     return out

@@ -10,7 +10,6 @@ from __future__ import annotations
 import heapq
 import json
 import re
-import unicodedata
 from functools import lru_cache
 
 import numpy as np
@@ -36,9 +35,12 @@ def byte_symbols() -> list[str]:
 class WordCounter:
     """Counts the tokens of words for a vocabulary file with word-end merges."""
 
-    def __init__(self, path: str):
-        with open(path, encoding="utf-8") as f:
-            model = json.load(f)
+    def __init__(self, content: str):
+        from tokenizers import Tokenizer
+
+        model = json.loads(content)
+        normalizer = Tokenizer.from_str(content).normalizer
+        self.normal = normalizer.normalize_str if normalizer else str
         merges = model["model"]["merges"]
         pairs = [tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in merges]
         self.ranks = {pair: rank for rank, pair in enumerate(pairs)}
@@ -90,19 +92,13 @@ class WordCounter:
 
 
 @lru_cache(2)
-def _counter(path: str) -> WordCounter:
-    return WordCounter(path)
-
-
-def _normal(text: str) -> str:
-    if not unicodedata.is_normalized("NFC", text):
-        text = unicodedata.normalize("NFC", text)
-    return text.replace("Σ", "σ").lower()
+def _counter(content: str) -> WordCounter:
+    return WordCounter(content)
 
 
-def _counts(path: str):
+def _counts(held):
     def run(batches):
-        counter = _counter(path)
+        counter = _counter(held.value)
         special = re.compile("|".join(map(re.escape, counter.special))) if counter.special else None
         for block in X.text_blocks(batches, BLOCK_BYTES):
             texts = [t or "" for t in block.column("text").to_pylist()]
@@ -111,7 +107,7 @@ def _counts(path: str):
             for i, text in enumerate(texts):
                 parts = special.split(text) if special and "<|" in text else [text]
                 extra[i] = len(parts) - 1
-                pieces += map(_normal, parts)
+                pieces += map(counter.normal, parts)
                 of += [i] * len(parts)
             cps, offsets = X.code_points(pieces)
             starts, ends = X.word_bpe_pieces(cps, offsets)
@@ -137,5 +133,7 @@ def count_tokens(docs: DataFrame, vocabulary_path: str, limit: int = 2048) -> Da
     doc_ids and very long texts are counted like any other; other columns are ignored; an
     empty table gives an empty result.
     """
-    counted = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_counts(vocabulary_path), "doc_id long, n_bytes long, n_tokens long")
+    with open(vocabulary_path, encoding="utf-8") as file:
+        held = docs.sparkSession.sparkContext.broadcast(file.read())
+    counted = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_counts(held), "doc_id long, n_bytes long, n_tokens long")
     return counted.withColumn("over_limit", F.col("n_tokens") > limit)
