@@ -49,7 +49,7 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
-    return pii.pseudonymise(docs)
+    return pii.pseudonymise(docs, pii.key_of(spark))
 
 
 def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -142,14 +142,14 @@ def test_chat(spark):
 
 def test_pseudonyms(spark, empty):
     texts = ["+1 (456) 555-2186 42.144.35.254 4041894974608795 a.b@c.example.com", "4041 8949 7460 8795 and 42.144.35.254", "version 3.0, 999.1.1.1, 2001-02-30, 4041894974608796", "1987-03-15 15/03/1987", None, ""]
-    out = [r.text for r in pii.pseudonymise(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).orderBy("doc_id").collect()]
+    out = [r.text for r in pii.pseudonymise(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), "k1").orderBy("doc_id").collect()]
     assert out[2] == texts[2] and out[4] is None and out[5] == ""
     assert not any(x in out[0] for x in texts[0].replace("(456) ", "").split()[2:])
     assert out[0].split()[4] == out[1].replace(" ", "")[:16] and out[0].split()[3] == out[1].split()[-1]
     assert out[3][4] == "-" and out[3] != texts[3]
     many = spark.range(3000).select(F.col("id").alias("doc_id"), F.concat(F.lit("1.2."), F.floor(F.col("id") / 250).cast("string"), F.lit("."), (F.col("id") % 250).cast("string")).alias("text"))
-    assert pii.pseudonymise(many).select("text").distinct().count() == 3000
-    assert pii.pseudonymise(empty).count() == 0
+    assert pii.pseudonymise(many, "k1").select("text").distinct().count() == 3000
+    assert pii.pseudonymise(empty, "k1").count() == 0
 
 
 def test_nearest(spark):

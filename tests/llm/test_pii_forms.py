@@ -7,7 +7,7 @@ from repeatloom.llm import pii
 
 def masked(spark, texts):
     rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    return [(r.text, r.n_values) for r in pii.pseudonymise(rows).orderBy("doc_id").collect()]
+    return [(r.text, r.n_values) for r in pii.pseudonymise(rows, "k1").orderBy("doc_id").collect()]
 
 
 def test_all_telephone_numbers(spark):
@@ -22,7 +22,7 @@ def test_all_telephone_numbers(spark):
 def test_low_telephone_codes_one_to_one(spark):
     number = lambda i: F.concat(F.lpad((i % 1000).cast("string"), 3, "0"), F.lit("-"), F.lpad((i * 7 % 1000).cast("string"), 3, "0"), F.lit("-1234"))
     rows = spark.range(1000).select(F.col("id").alias("doc_id"), number(F.col("id")).alias("text"))
-    assert pii.pseudonymise(rows).select("text").distinct().count() == 1000
+    assert pii.pseudonymise(rows, "k1").select("text").distinct().count() == 1000
 
 
 def test_cards_beside_other_numbers(spark):
