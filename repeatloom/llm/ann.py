@@ -1,30 +1,35 @@
 """Approximate nearest neighbours by additive quantisation.
 
-Unit vectors are written as sums of full-dimensional codewords, one of each residual
-codebook, found by beam search; the index keeps codes and the norm of each sum. Queries
-score blocks of codes by lookup tables, and the best of each block are ranked exactly on
-the original vectors.
+Vectors are written as sums of full-dimensional codewords, one of each residual codebook,
+found by beam search; the index keeps codes and the norm of each sum, never the vectors.
+Every chunk of queries meets every part of the index once, in a task of its own, and scores
+its codes by lookup tables; the best of all parts are joined with their vectors and ranked
+exactly.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import _text as X
 from ._staging import parts, stage
 
-BOOKS, WORDS, BEAM = 24, 64, 3
-#: Rows the codebooks are fitted on, at most about.
+BOOKS, WORDS, BEAM = 40, 64, 3
+#: Rows the codebooks are fitted on, at most.
 SAMPLE = 8192
-BLOCK_ROWS, QUERY_ROWS = 4096, 512
-#: Best rows of each block that are ranked exactly.
-SHORTLIST = 128
+#: Rows of a part of the index, and queries of a chunk, at most.
+PART_ROWS, QUERY_ROWS = 16_384, 1024
+#: Parts that a task holds against a chunk, about.
+PARTS_OF_SALT = 4
+#: Best rows of each query by the index that are ranked exactly.
+SHORTLIST = 512
 
-_BLOCK = pa.schema([("part", pa.int64()), ("n", pa.int64()), ("ids", pa.binary()), ("vectors", pa.binary()), ("codes", pa.binary()), ("norms", pa.binary())])
-_HITS = "query_id long, vec_id long, score double"
+_BLOCK = "ids binary, codes binary, norms binary"
+_CHUNK = pa.schema([("chunk", pa.int64()), ("q_ids", pa.binary()), ("q_vectors", pa.binary())])
+_QUERIES = "chunk long, q_ids binary, q_vectors binary"
 
 
 def encode(x: np.ndarray, books: np.ndarray, beam: int = BEAM) -> np.ndarray:
@@ -73,65 +78,85 @@ def _unit(x: np.ndarray) -> np.ndarray:
     return (x / np.sqrt((x.astype(np.float64) ** 2).sum(1, keepdims=True))).astype(np.float32)
 
 
-def _pack(books: np.ndarray | None, dim: int):
-    """Rows of a part as one row; with codebooks, also their codes and norms."""
-
-    def run(key, batches):
-        table = pa.Table.from_batches(list(batches))
-        ids = table.column("vec_id").to_numpy()
-        x = table.column("embedding").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, dim).astype(np.float64)
-        order = np.lexsort((*x.T[::-1], ids))
-        ids, x = ids[order], x[order]
-        if books is None:
-            new = np.ones(len(ids), bool)
-            new[1:] = ids[1:] != ids[:-1]
-            ids, x = ids[new], x[new]
-            codes, norms = np.zeros(0, np.uint8), np.zeros(0, np.float32)
-        else:
-            codes = encode(_unit(x), books)
-            total = books[np.arange(len(books)), codes].sum(1)
-            norms = np.maximum(np.sqrt((total**2).sum(1)), 1e-12)
-        row = [[key[0].as_py()], [len(ids)], [ids.astype("<i8").tobytes()], [x.tobytes()], [codes.tobytes()], [norms.astype("<f4").tobytes()]]
-        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(row, _BLOCK)], schema=_BLOCK)
+def _rows_of(batches, most: int):
+    """(ids, vectors) of at most ``most`` rows at a time, across batches."""
+    ids, vectors, held = [], [], 0
+    for batch in batches:
+        for at in range(0, batch.num_rows, most):
+            part = batch.slice(at, most)
+            flat = part.column("embedding").flatten().to_numpy(zero_copy_only=False)
+            ids.append(part.column("vec_id").to_numpy(zero_copy_only=False))
+            vectors.append(flat.reshape(part.num_rows, -1).astype(np.float64))
+            held += part.num_rows
+            while held >= most:
+                i, x = np.concatenate(ids), np.concatenate(vectors)
+                yield i[:most], x[:most]
+                ids, vectors, held = [i[most:]], [x[most:]], held - most
+    if held:
+        yield np.concatenate(ids), np.concatenate(vectors)
+
+
+def _index(held):
+    def run(batches):
+        books = held.value
+        for ids, x in _rows_of(batches, PART_ROWS):
+            codes = np.concatenate([encode(_unit(x[i : i + 2048]), books) for i in range(0, len(x), 2048)])
+            norms = np.concatenate([np.sqrt((books[np.arange(len(books)), c].sum(1) ** 2).sum(1)) for c in np.array_split(codes, -(-len(codes) // 2048))])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([ids.astype("<i8").tobytes()], pa.binary()), pa.array([codes.tobytes()], pa.binary()), pa.array([np.maximum(norms, 1e-12).astype("<f4").tobytes()], pa.binary())],
+                ["ids", "codes", "norms"],
+            )
 
     return run
 
 
-def _search(books: np.ndarray, dim: int, k: int, shortlist: int):
+def _chunk(key, batches):
+    table = pa.Table.from_batches(list(batches)).sort_by("vec_id")
+    x = table.column("embedding").combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+    ids = table.column("vec_id").to_numpy().astype("<i8")
+    yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int64()), pa.array([ids.tobytes()], pa.binary()), pa.array([x.tobytes()], pa.binary())], schema=_CHUNK)
+
+
+def _search(held, shortlist: int):
+    """The best rows of a part for each query of a chunk, by the lookup tables."""
+
     def run(batches):
+        books = held.value
         for batch in batches:
             for row in batch.to_pylist():
-                ids = np.frombuffer(row["ids"], "<i8")
-                x = np.frombuffer(row["vectors"]).reshape(-1, dim)
+                ids, norms = np.frombuffer(row["ids"], "<i8"), np.frombuffer(row["norms"], "<f4")
                 codes = np.frombuffer(row["codes"], np.uint8).reshape(-1, len(books))
-                norms = np.frombuffer(row["norms"], "<f4")
                 q_ids = np.frombuffer(row["q_ids"], "<i8")
-                q = np.frombuffer(row["q_vectors"]).reshape(-1, dim)
-                tables = np.einsum("qd,bwd->bqw", _unit(q), books)
-                score = np.zeros((len(q), len(x)), np.float32)
-                for b in range(len(books)):
-                    score += tables[b][:, codes[:, b]]
-                score /= norms
-                score[q_ids[:, None] == ids[None, :]] = -np.inf
-                best = np.argsort(-score, 1, kind="stable")[:, :shortlist]
-                size = np.sqrt((x**2).sum(1))
-                exact = np.stack([(x[at] * v).sum(1) / (size[at] * np.sqrt((v**2).sum())) for at, v in zip(best, q)])
-                exact[np.take_along_axis(score, best, 1) == -np.inf] = -np.inf
-                found = ids[best]
-                order = np.lexsort((found, -exact))[:, :k]
-                found, exact = np.take_along_axis(found, order, 1), np.take_along_axis(exact, order, 1)
-                real = exact > -np.inf
-                of = np.broadcast_to(q_ids[:, None], found.shape)
-                yield pa.RecordBatch.from_arrays([pa.array(of[real]), pa.array(found[real]), pa.array(exact[real])], ["query_id", "vec_id", "score"])
+                q = _unit(np.frombuffer(row["q_vectors"]).reshape(len(q_ids), -1))
+                for at in range(0, len(q), 256):
+                    tables = np.einsum("qd,bwd->bqw", q[at : at + 256], books)
+                    own = q_ids[at : at + 256]
+                    score = np.zeros((len(own), len(ids)), np.float32)
+                    for b in range(len(books)):
+                        score += tables[b][:, codes[:, b]]
+                    score /= norms
+                    score[own[:, None] == ids[None, :]] = -np.inf
+                    best = np.argpartition(-score, shortlist - 1, 1)[:, :shortlist] if shortlist < len(ids) else np.broadcast_to(np.arange(len(ids)), score.shape)
+                    value = np.take_along_axis(score, best, 1)
+                    real = value > -np.inf
+                    of = np.broadcast_to(own[:, None], best.shape)[real]
+                    yield pa.RecordBatch.from_arrays([pa.array(of), pa.array(ids[best][real]), pa.array(value[real])], ["query_id", "vec_id", "likely"])
 
     return run
 
 
+def _scaled(vector: Column) -> Column:
+    """A vector times the power of two that brings its largest component near 1: the same direction, bit for bit."""
+    most = F.array_max(F.transform(vector, F.abs))
+    return F.transform(vector, lambda v: v * F.pow(F.lit(2.0), -F.greatest(F.lit(-1000.0), F.least(F.lit(1000.0), F.floor(F.log2(most)).cast("double")))))
+
+
 def usable(embeddings: DataFrame) -> DataFrame:
-    """vec_id and embedding (doubles) of the rows that take part: no null, non-finite or only zero components."""
+    """vec_id and scaled embedding (doubles) of the rows that take part: no null, non-finite or only zero components."""
     e = embeddings.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"))
     finite = lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf"))
-    return e.where("vec_id is not null and embedding is not null").where(F.forall("embedding", finite) & F.exists("embedding", lambda v: v != 0))
+    e = e.where("vec_id is not null and embedding is not null").where(F.forall("embedding", finite) & F.exists("embedding", lambda v: v != 0))
+    return e.select("vec_id", _scaled(F.col("embedding")).alias("embedding"))
 
 
 def nearest(embeddings: DataFrame, every: int = 50, k: int = 5, shortlist: int = SHORTLIST) -> DataFrame:
@@ -139,36 +164,45 @@ def nearest(embeddings: DataFrame, every: int = 50, k: int = 5, shortlist: int =
 
     Candidates are all rows but those of the query's own vec_id; scores are exact cosines in
     double precision, ties go to the smaller vec_id. Rows with null, zero or non-finite
-    vectors or a null vec_id take no part, nor do vectors of another length than most; a
-    query repeated under one vec_id is asked once; other columns are ignored; an empty table
-    gives an empty result. Codebooks are fitted on a sample of about SAMPLE rows; every row
-    is indexed.
+    vectors or a null vec_id take no part, nor do vectors of another length than most; very
+    large and very small components are no exception. Rows that repeat both vec_id and
+    direction count once; a vec_id with several vectors is one query, for the first of them
+    in order, and several candidates; other columns are ignored; an empty table gives an
+    empty result. Codebooks are fitted on a sample of at most SAMPLE rows; every row is
+    indexed.
     """
+    spark = embeddings.sparkSession
     rows = usable(embeddings)
-    spark = rows.sparkSession
     sizes = rows.groupBy(F.size("embedding").alias("dim")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "dim").limit(1).collect()
-    empty = "query_id long, rank int, vec_id long, score double"
     if not sizes:
-        return spark.createDataFrame([], empty)
+        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     dim, count = sizes[0]
-    rows = rows.where(F.size("embedding") == dim)
-    queries = rows.where(F.col("vec_id") % every == 0)
-    n_queries = queries.count()
-    if not n_queries:
-        return spark.createDataFrame([], empty)
-    share = int((1 << 30) * min(1.0, SAMPLE / count))
-    sample = rows.where(F.pmod(F.xxhash64("vec_id", F.lit(11)), F.lit(1 << 30)) < share).orderBy("vec_id").toPandas()
-    x = np.array(sample["embedding"].tolist(), np.float64) if len(sample) else np.ones((1, dim))
-    books = fit_books(_unit(x))
-    schema = "part long, n long, ids binary, vectors binary, codes binary, norms binary"
-    n_blocks, n_chunks = parts(count, BLOCK_ROWS), parts(n_queries, QUERY_ROWS)
-    part = lambda n, seed: F.pmod(F.xxhash64("vec_id", "embedding", F.lit(seed)), F.lit(n)).alias("part")
-    index = stage(rows.select("vec_id", "embedding", part(n_blocks, 1)).groupBy("part").applyInArrow(X.on_tables(_pack(books, dim), _BLOCK), schema))
-    by_id = F.pmod(F.xxhash64("vec_id"), F.lit(n_chunks)).alias("part")
-    asked = queries.select("vec_id", "embedding", by_id).groupBy("part").applyInArrow(X.on_tables(_pack(None, dim), _BLOCK), schema)
-    asked = asked.select(F.col("part").alias("chunk"), F.col("ids").alias("q_ids"), F.col("vectors").alias("q_vectors"))
-    chunks = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_chunks - 1).cast("long"))).alias("chunk")
-    met = index.select("ids", "vectors", "codes", "norms", chunks).repartition(n_blocks * n_chunks, "chunk", "ids").join(asked, "chunk")
-    hits = met.mapInArrow(_search(books, dim, k, shortlist), _HITS)
+    rows = stage(rows.where(F.size("embedding") == dim).dropDuplicates(["vec_id", "embedding"]))
+    lot = F.xxhash64("vec_id", "embedding", F.lit(11))
+    likely = F.pmod(lot, F.lit(1 << 30)) < int((1 << 30) * min(1.0, 4 * SAMPLE / count))
+    sample = rows.where(likely).orderBy(lot).limit(SAMPLE).select("embedding").collect()
+    x = np.array([r[0] for r in sample] or rows.limit(1).select("embedding").first()[0]).reshape(-1, dim)
+    held = spark.sparkContext.broadcast(fit_books(_unit(x)))
+    queries = stage(rows.where(F.col("vec_id") % every == 0).groupBy("vec_id").agg(F.min("embedding").alias("embedding")))
+    n_chunks = parts(queries.count(), QUERY_ROWS)
+    index = stage(rows.mapInArrow(_index(held), _BLOCK))
+    n_salts = parts(index.count(), PARTS_OF_SALT)
+    of = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n))
+    every_of = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
+    # A chunk of queries meets the few parts of a salt in a task of its own, with codes but no vectors of the index.
+    n_tasks = n_chunks * n_salts
+    asked = queries.withColumn("chunk", of("vec_id", n_chunks)).groupBy("chunk").applyInArrow(X.on_tables(_chunk, _CHUNK), _QUERIES)
+    asked = asked.withColumn("salt", every_of(n_salts)).repartition(n_tasks, "chunk", "salt")
+    coded = index.withColumn("salt", of("ids", n_salts)).withColumn("chunk", every_of(n_chunks)).repartition(n_tasks, "chunk", "salt")
+    met = coded.join(asked, ["chunk", "salt"]).select("ids", "codes", "norms", "q_ids", "q_vectors")
+    found = met.mapInArrow(_search(held, shortlist), "query_id long, vec_id long, likely float")
+    best = Window.partitionBy("query_id").orderBy(F.desc("likely"), "vec_id")
+    short = found.withColumn("r", F.row_number().over(best)).where(F.col("r") <= shortlist).select("query_id", "vec_id").distinct()
+    dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, v: s + v)
+    norm = lambda a: F.sqrt(dot(a, a))
+    exact = queries.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"), norm(F.col("embedding")).alias("q_norm"))
+    scored = short.join(rows.select("vec_id", "embedding", norm(F.col("embedding")).alias("norm")), "vec_id").join(exact, "query_id")
+    score = dot(F.col("embedding"), F.col("q")) / (F.col("norm") * F.col("q_norm"))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return hits.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    ranked = scored.select("query_id", "vec_id", score.alias("score")).withColumn("rank", F.row_number().over(order))
+    return ranked.where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

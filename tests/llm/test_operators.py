@@ -3,14 +3,13 @@ import itertools
 import random
 import re
 
-import numpy as np
 import public_tokenizers
 import pytest
 import tiktoken
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from repeatloom.llm import ann, byte_bpe, chat, decontaminate, html_text, ngram_join, pii, quality, substring_dedup, token_count
+from repeatloom.llm import byte_bpe, chat, decontaminate, html_text, ngram_join, pii, quality, substring_dedup, token_count
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 DOCS = "doc_id long, text string, source string, tokens int"  # the last with a name that operators use inside
@@ -152,24 +151,6 @@ def test_pseudonyms(spark, empty):
     assert pii.pseudonymise(empty, "k1").count() == 0
 
 
-def test_nearest(spark):
-    rng = np.random.default_rng(1)
-    x = rng.normal(size=(600, 16))
-    x[50] = x[7]
-    rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(700, None), (701, [0.0] * 16), (702, [float("nan")] * 16), (703, [1.0])]
-    out = ann.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()
-    u = x / np.linalg.norm(x, axis=1, keepdims=True)
-    hits = 0
-    for q in range(0, 600, 50):
-        s = u[q] @ u.T
-        s[q] = -2
-        best = set(np.lexsort((np.arange(600), -s))[:5].tolist())
-        hits += len(best & {r.vec_id for r in out if r.query_id == q})
-        assert all(abs(s[r.vec_id] - r.score) < 1e-12 for r in out if r.query_id == q)
-    assert hits >= 0.9 * 60 and len(out) == 60
-    assert ann.nearest(spark.createDataFrame([], "vec_id long, embedding array<double>")).count() == 0
-
-
 def test_html(spark):
     article = "<article><h1>Head &amp; line</h1><p>First, a long sentence with words.<p><b>Second one.<br>More.</p></article>"
     page = f"<html><head><title>t</title><script>var a='</p>';</script></head><body><nav><ul><li><a href=x>Menu</a></ul></nav><div class='ad'>Buy this now, today.</div>{article}<section class=comments><p>Reader says, long comment here.</p></section><footer>&copy; x</footer>"
