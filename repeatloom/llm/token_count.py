@@ -39,8 +39,8 @@ class WordCounter:
         from tokenizers import Tokenizer
 
         model = json.loads(content)
-        normalizer = Tokenizer.from_str(content).normalizer
-        self.normal = normalizer.normalize_str if normalizer else str
+        self.normalizer = Tokenizer.from_str(content).normalizer
+        self.lowers = {"NFC", "Replace", "Lowercase"} >= {n["type"] for n in (model["normalizer"] or {}).get("normalizers", [{"type": ""}])}
         merges = model["model"]["merges"]
         pairs = [tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in merges]
         self.ranks = {pair: rank for rank, pair in enumerate(pairs)}
@@ -58,6 +58,12 @@ class WordCounter:
             known = self.cache[word] = self._merge(word)
         return known
 
+    def normal(self, text: str) -> str:
+        """The library's normal form; of plain ASCII only case and white space can differ, and white space is dropped later."""
+        if self.lowers and text.isascii():
+            return text.lower()
+        return self.normalizer.normalize_str(text) if self.normalizer else text
+
     def _merge(self, word: str) -> int:
         parts = [self.symbols[b] for b in word.encode("utf-8", "surrogatepass")]
         parts[-1] += self.suffix
