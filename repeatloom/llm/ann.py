@@ -148,7 +148,8 @@ def _search(held, shortlist: int):
 def _scaled(vector: Column) -> Column:
     """A vector times the power of two that brings its largest component near 1: the same direction, bit for bit."""
     most = F.array_max(F.transform(vector, F.abs))
-    return F.transform(vector, lambda v: v * F.pow(F.lit(2.0), -F.greatest(F.lit(-1000.0), F.least(F.lit(1000.0), F.floor(F.log2(most)).cast("double")))))
+    factor = F.pow(F.lit(2.0), -F.greatest(F.lit(-1000.0), F.least(F.lit(1000.0), F.floor(F.log2(most)).cast("double"))))
+    return F.element_at(F.transform(F.array(factor), lambda f: F.transform(vector, lambda v: v * f)), 1)  # so that f is computed once
 
 
 def usable(embeddings: DataFrame) -> DataFrame:
