@@ -5,8 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+# Fixed value: names of primary chromosomes.
 PRIMARY = r"^chr([0-9]+|[XYM])$"
-COORDINATE = r"^(chr[^\s:]+):([0-9]+)-([0-9]+)$"
+
+#: Type of a region's alternate intervals.
+ALT = "array<struct<chrom:string,start:bigint,end:bigint>>"
 
 
 def overlap_bp(a_start: Column, a_end: Column, b_start: Column, b_end: Column) -> Column:
@@ -38,7 +41,7 @@ def period(text: Column) -> Column:
 
 def gtf_attribute(attributes: Column, key: str) -> Column:
     """The first quoted value of an attribute whose name begins with key; null if empty."""
-    items = F.transform(F.split(attributes, ";"), F.trim)
+    items = F.transform(F.split(attributes, ";"), lambda t: F.trim(t))  # a bare F.trim would take the index as its second argument
     named = F.filter(items, lambda t: t.startswith(key) & (F.size(F.split(t, '"')) >= 2))
     return F.nullif(F.get(F.split(F.get(named, F.lit(0)), '"'), F.lit(1)), F.lit(""))
 

@@ -8,11 +8,6 @@ from pyspark.sql import functions as F
 SPLIT = 134217729.0  # 2**27 + 1
 
 
-def _halves(x: Column) -> tuple[Column, Column]:
-    high = x * F.lit(SPLIT) - (x * F.lit(SPLIT) - x)
-    return high, x - high
-
-
 def round_half_even(x: Column, digits: int) -> Column:
     """x to ``digits`` decimals, for magnitudes below 2**52 / 10**digits.
 
@@ -20,16 +15,23 @@ def round_half_even(x: Column, digits: int) -> Column:
     the rounded product is told from a true one.
     """
     scale = float(10**digits)
-    size = F.abs(x.cast("double"))
-    product = size * F.lit(scale)
-    high, low = _halves(size)
     high2, low2 = (F.lit(v) for v in _split(scale))
-    error = low * low2 - (((product - high * high2) - low * high2) - high * low2)
-    whole = F.floor(product).cast("double")
-    over = product - whole - F.lit(0.5)
-    up = (over > 0) | ((over == 0) & ((error > 0) | ((error == 0) & (whole % 2 == 1))))
-    rounded = (whole + F.when(up, F.lit(1.0)).otherwise(F.lit(0.0))) / F.lit(scale)
-    return F.when(x < 0, -rounded).otherwise(rounded)
+    once = lambda value, body: F.element_at(F.transform(F.array(value), body), 1)  # noqa: E731  # value is computed once
+
+    def with_high(size: Column, high: Column) -> Column:
+        low, product = size - high, size * F.lit(scale)
+        error = low * low2 - (((product - high * high2) - low * high2) - high * low2)
+        whole = F.floor(product).cast("double")
+        over = product - whole - F.lit(0.5)
+        up = (over > 0) | ((over == 0) & ((error > 0) | ((error == 0) & (whole % 2 == 1))))
+        return (whole + F.when(up, F.lit(1.0)).otherwise(F.lit(0.0))) / F.lit(scale)
+
+    def rounded(v: Column) -> Column:
+        size = F.abs(v)
+        new = once(size * F.lit(SPLIT) - (size * F.lit(SPLIT) - size), lambda high: with_high(size, high))
+        return F.when(v < 0, -new).otherwise(new)
+
+    return once(x.cast("double"), rounded)
 
 
 def _split(x: float) -> tuple[float, float]:

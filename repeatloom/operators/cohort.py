@@ -44,3 +44,31 @@ def chromosome_counts(sites: DataFrame) -> DataFrame:
     per = sites.groupBy("chrom").agg(F.count("*").alias("n_sites")).withColumn("ord", F.when(ord_ > 0, ord_).otherwise(99).cast("int"))
     total = sites.agg(F.count("*").alias("n_sites")).select(F.lit("total").alias("chrom"), "n_sites", F.lit(100).alias("ord"))
     return per.unionByName(total)
+
+
+def filtered_catalogue(catalogue: DataFrame, least: int = 6) -> DataFrame:
+    """Catalogue rows on standard chromosomes with a consensus longer than ``least``; cons_len is a number, chrom_ord the order."""
+    place = F.array_position(F.array(*map(F.lit, CHROMOSOMES)), F.col("chrom"))
+    numbered = catalogue.withColumn("cons_len", F.col("cons_len").try_cast("double")).withColumn("chrom_ord", place.cast("int"))
+    return numbered.where((F.col("chrom_ord") > 0) & (F.col("cons_len") > least))
+
+
+def with_variability(catalogue: DataFrame, sites: DataFrame) -> DataFrame:
+    """Catalogue rows (chrom, start as text) with is_variable of the site there, of repeated sites the last; null without one."""
+    wanted = sites.join(catalogue.select("chrom", F.col("start").alias("pos")).distinct(), ["chrom", "pos"], "left_semi")
+    last = wanted.groupBy("chrom", F.col("pos").alias("start")).agg(F.max_by(is_variable(F.col("genotypes")), "ord").alias("is_variable"))
+    return catalogue.join(last, ["chrom", "start"], "left")
+
+
+def variability_counts(catalogue: DataFrame) -> DataFrame:
+    """(chrom, n_variable, n_invariant, n_unresolved) by chromosome in order, and overall as chrom 'total'."""
+    known = F.col("is_variable")
+    counts = [F.count_if(known).alias("n_variable"), F.count_if(~known).alias("n_invariant"), F.count_if(known.isNull()).alias("n_unresolved")]
+    per = catalogue.rollup("chrom").agg(*counts, F.grouping("chrom").alias("total"))
+    return per.select(F.when(F.col("total") == 1, "total").otherwise(F.col("chrom")).alias("chrom"), "n_variable", "n_invariant", "n_unresolved")
+
+
+def context_counts(table: DataFrame, columns: list[str]) -> DataFrame:
+    """(context, value, n): how often each known value of these columns occurs."""
+    pairs = F.array(*(F.struct(F.lit(c).alias("context"), F.col(c).cast("string").alias("value")) for c in columns))
+    return table.select(F.inline(pairs)).where("value is not null").groupBy("context", "value").agg(F.count("*").alias("n"))

@@ -31,7 +31,8 @@ def hits(reads: DataFrame, intervals: DataFrame) -> DataFrame:
 def read_counts(found: DataFrame, samples: DataFrame, regions: DataFrame) -> DataFrame:
     """(sample, key, n_reads) for every sample and region, 0 where none was found."""
     counts = found.groupBy("sample", "key").agg(F.count("*").alias("n"))
-    cells = samples.select("sample").withColumn("one", F.lit(1)).join(regions.select("key").withColumn("one", F.lit(1)), "one").drop("one")
+    names = [F.lit(r[0]) for r in samples.select("sample").distinct().orderBy("sample").collect()]  # one per input file
+    cells = regions.select("key", F.explode(F.array(*names) if names else F.array().cast("array<string>")).alias("sample"))
     return cells.join(counts, ["sample", "key"], "left").select("sample", "key", F.coalesce("n", F.lit(0)).alias("n_reads"))
 
 

@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 def block_span(start: Column, end: Column, blocks: Column, q_size: Column, strand: Column) -> Column:
     """Struct (start, end) of a target interval on the query, or null.
 
-    Blocks (t, q, size) that overlap map base by base; a gap of the query at a junction
-    inside the interval, ends included, counts as well. On '-' the span is mirrored.
+    Blocks (t, q, size) that overlap map base by base. Where two blocks follow each other
+    without a gap on the target, what the query has between them counts as well, if their
+    junction lies in the interval, ends included. On '-' the span is mirrored.
     """
     hit = F.filter(blocks, lambda b: (b["t"] < end) & (b["t"] + b["size"] > start))
     mapped = F.transform(
@@ -23,10 +24,10 @@ def block_span(start: Column, end: Column, blocks: Column, q_size: Column, stran
     pairs = F.zip_with(
         F.slice(blocks, F.lit(1), F.greatest(F.size(blocks) - 1, F.lit(0))),
         F.slice(blocks, F.lit(2), F.greatest(F.size(blocks) - 1, F.lit(0))),
-        lambda a, b: F.struct((a["t"] + a["size"]).alias("t"), (a["q"] + a["size"]).alias("s"), b["q"].alias("e")),
+        lambda a, b: F.struct((a["t"] + a["size"]).alias("t"), (b["t"] == a["t"] + a["size"]).alias("adjacent"), (a["q"] + a["size"]).alias("s"), b["q"].alias("e")),
     )
     inserted = F.transform(
-        F.filter(pairs, lambda p: (p["e"] > p["s"]) & (p["t"] >= start) & (p["t"] <= end)),
+        F.filter(pairs, lambda p: p["adjacent"] & (p["e"] > p["s"]) & (p["t"] >= start) & (p["t"] <= end)),
         lambda p: F.struct(p["s"].alias("s"), p["e"].alias("e")),
     )
     spans = F.concat(mapped, inserted)

@@ -2,13 +2,34 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def select_regions(regions: DataFrame, genes: list[str] = (), names: list[str] = ()) -> DataFrame:
-    """Regions of any of the genes or with any of the names."""
-    return regions.where(F.col("gene").isin(*genes) | F.col("name").isin(*names))
+class SelectionError(ValueError):
+    """No regions, or selectors that exclude each other."""
+
+
+def select_regions(regions: DataFrame, genes: list[str] | None = None, names: list[str] | None = None) -> DataFrame:
+    """Regions of any of the genes or with any of the names; all of them if neither is given.
+
+    An empty list is given, and matches nothing.
+    """
+    given = [F.col(column).isin(list(values)) for column, values in (("gene", genes), ("name", names)) if values is not None]
+    return regions.where(reduce(Column.__or__, given)) if given else regions
+
+
+def unmatched(regions: DataFrame, column: str, wanted: list[str]) -> DataFrame:
+    """The wanted values that no region has in ``column``, sorted: for warnings."""
+    asked = regions.sparkSession.createDataFrame([(w,) for w in sorted(set(wanted))], f"{column} string")
+    return asked.join(regions.select(column), column, "left_anti").orderBy(column)
+
+
+def on_chromosomes(regions: DataFrame, chromosomes: list[str]) -> DataFrame:
+    """Regions on any of the chromosomes."""
+    return regions.where(F.col("chrom").isin(list(chromosomes)))
 
 
 def merge_regions(default: DataFrame, custom: DataFrame) -> DataFrame:
@@ -21,6 +42,6 @@ def merge_regions(default: DataFrame, custom: DataFrame) -> DataFrame:
 def check_selection(default: bool, genes, names, regions) -> None:
     """At least one selector; the whole default list excludes genes and names."""
     if not (default or genes is not None or names is not None or regions):
-        raise ValueError("choose regions by default, gene, name or file")
+        raise SelectionError("choose regions by default, gene, name or file")
     if default and (genes is not None or names is not None):
-        raise ValueError("default takes all regions; leave out gene and name")
+        raise SelectionError("default takes all regions; leave out gene and name")

@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.metrics import PRIMARY
+from ..functions.metrics import ALT, PRIMARY
 from ..operators.liftover import lift
 from ..operators.overlap import most_overlap
-from ..sources.text import ALT, lines, parse_genes
+from ..sources.text import lines, parse_alignments, parse_genes, read_region_list
 
 
 def builder_genes(spark: SparkSession, path: str) -> DataFrame:
@@ -60,3 +60,42 @@ def summary(annotated: DataFrame) -> DataFrame:
         F.count_if(F.col("n_genes") == 0).alias("n_no_gene"), F.count_if(F.col("n_genes") == 1).alias("n_one_gene"), F.count_if(F.col("n_genes") > 1).alias("n_many_genes"),
         F.count_if(F.col("alt_regions").isNotNull() & (n_alts > 0)).alias("n_with_alt"), F.count_if(F.col("alt_regions").isNotNull() & (n_alts == 0)).alias("n_without_alt"),
     )
+
+
+def alternate_counts(annotated: DataFrame) -> DataFrame:
+    """(n_alternates, n): how many regions have one, two ... alternate contigs."""
+    sizes = annotated.where("alt_regions is not null").select(F.size("alt_regions").alias("n_alternates")).where("n_alternates > 0")
+    return sizes.groupBy("n_alternates").agg(F.count("*").alias("n")).orderBy("n_alternates")
+
+
+def bed_header(label: str, source: str, with_alts: bool) -> list[str]:
+    """The comment lines of an annotation file, without the '#'. Fixed wording, as readers of such files know it."""
+    alternates = [
+        "Alternate contig columns (7-9, 10-12, ...) list equivalent regions on",
+        "alternate reference sequences. Reads from all contigs are unioned before counting.",
+    ]
+    return [
+        f"Copy-number-variable VNTR regions - {label}",
+        f"Source: {source}",
+        "Format: chrom\tstart\tend\tname\tgene_name\tperiod\t[alt_chrom\talt_start\talt_end ...]",
+        "BED coordinates are 0-based half-open [start, end)",
+        "",
+        "gene_name (column 5): gene with greatest bp overlap with the VNTR.",
+        "  Priority: 1) most bp overlap  2) protein_coding  3) alphabetical name",
+        "  '.' = no overlapping gene found on primary chromosome.",
+        "",
+        "period (column 6): repeat unit length in bp ('.' if unknown).",
+        "  Used to convert density ratios to predicted copy numbers:",
+        "  predicted_copies = density_ratio * 2 * (VNTR_length / period)",
+        "",
+        *(alternates if with_alts else ["Alternate contig columns not included (--no-alt-contigs)."]),
+    ]
+
+
+def build(spark: SparkSession, region_list: str, genes: str, label: str, out: str, alignments: str | None = None) -> DataFrame:
+    """Annotate a region list with genes and alternate contigs and write it to the folder ``out``; returns the annotation."""
+    regions = read_region_list(spark, region_list)
+    psl = parse_alignments(lines(spark, alignments)) if alignments else None
+    found = annotate(regions, builder_genes(spark, genes), psl)
+    write_bed(found, out, bed_header(label, region_list, psl is not None), psl is not None)
+    return found

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import metrics
-from ..operators import cohort, counting, liftover, overlap, selection, stats
+from ..operators import cohort, counting, liftover, normalization, overlap, selection, stats
 
 WINDOW = 50
 
@@ -30,36 +30,29 @@ def samples(spark, d):
     return _t(spark, d, "lineitem").select(F.col("l_returnflag").alias("sample")).distinct()
 
 
-def regions(spark, d, whole=False):
-    """Parts as regions; without ``whole`` only the keys that SQL_REGIONS takes."""
+def regions(spark, d):
+    """Parts as regions; each tenth has an alternate interval."""
     p = _t(spark, d, "part")
-    p = p if whole else p.where("p_partkey <= 1000")
     alt = F.array(F.struct(((F.col("p_partkey") + 1) % 5).cast("string").alias("chrom"), (F.col("p_partkey") + 30).alias("start"), (F.col("p_partkey") + 40).alias("end")))
     return p.select(
         F.col("p_partkey").alias("key"), (F.col("p_partkey") % 5).cast("string").alias("chrom"), F.col("p_partkey").alias("start"), (F.col("p_partkey") + F.col("p_size")).alias("end"),
         F.when(F.col("p_size") % 3 > 0, F.col("p_size") % 3).alias("period"), F.when(F.col("p_partkey") % 10 == 0, alt).alias("alt_regions"),
-        F.floor(F.col("p_partkey") / 100).cast("long").alias("norm_key"), F.col("p_brand").alias("gene"), F.col("p_name").alias("name"),
+        F.floor(F.col("p_partkey") / 100).cast("long").alias("norm_key"), F.col("p_brand").alias("gene"), F.concat(F.lit("TR"), F.col("p_partkey").cast("string")).alias("name"),
     )
 
 
 def norms(spark, d):
-    keys = spark.range(0, 10).withColumnRenamed("id", "norm_key")
-    return keys.select("norm_key", (F.col("norm_key") % 5).cast("string").alias("chrom"), (F.col("norm_key") * 100).alias("start"), (F.col("norm_key") * 100 + 150).alias("end"))
-
-
-def whole_norms(spark, d):
     """The backgrounds of all regions, each third with an alternate interval."""
-    n = regions(spark, d, whole=True).select("norm_key").distinct()
+    n = regions(spark, d).select("norm_key").distinct()
     start = F.col("norm_key") * 100
     alt = F.array(F.struct(((F.col("norm_key") + 1) % 5).cast("string").alias("chrom"), (start + 30).alias("start"), (start + 60).alias("end")))
     return n.select("norm_key", (F.col("norm_key") % 5).cast("string").alias("chrom"), start.alias("start"), (start + 150).alias("end"), F.when(F.col("norm_key") % 3 == 0, alt).alias("alt_regions"))
 
 
-def genes(spark, d, whole=False):
-    """Orders as genes; without ``whole`` only the keys that SQL_GENES takes."""
+def genes(spark, d):
     o = _t(spark, d, "orders")
-    o = o if whole else o.where("o_orderkey % 40 = 0")
-    return o.select((F.col("o_custkey") % 5).cast("string").alias("chrom"), (F.col("o_orderkey") % 20000).alias("start"), (F.col("o_orderkey") % 20000 + F.col("o_custkey") % 90 + 1).alias("end"), F.concat(F.lit("g"), F.col("o_orderkey").cast("string")).alias("gene_name"), (F.col("o_orderstatus") == "O").alias("is_coding"))
+    kind = F.when(F.col("o_orderstatus") == "O", "protein_coding").when(F.col("o_orderstatus") == "P", "lncRNA").otherwise("unknown")
+    return o.select((F.col("o_custkey") % 5).cast("string").alias("chrom"), (F.col("o_orderkey") % 20000).alias("start"), (F.col("o_orderkey") % 20000 + F.col("o_custkey") % 90 + 1).alias("end"), F.concat(F.lit("g"), F.col("o_orderkey").cast("string")).alias("gene_name"), (F.col("o_orderstatus") == "O").alias("is_coding"), kind.alias("gene_type"))
 
 
 def calls(spark, d):
@@ -72,17 +65,17 @@ def calls(spark, d):
 
 
 SQL_READS = "reads as (select l_returnflag sample, l_orderkey::varchar qname, (l_suppkey % 5)::varchar chrom, date_diff('day', date '1995-01-01', l_shipdate::date) s, date_diff('day', date '1995-01-01', l_shipdate::date) + l_quantity::bigint e from lineitem where l_linestatus = 'F')"
-SQL_REGIONS = "regions as (select p_partkey k, (p_partkey % 5)::varchar chrom, p_partkey s, p_partkey + p_size e, nullif(p_size % 3, 0) period, p_partkey // 100 nk, p_brand gene, p_name nm from part where p_partkey <= 1000)"
+SQL_REGIONS = "regions as (select p_partkey k, (p_partkey % 5)::varchar chrom, p_partkey s, p_partkey + p_size e, nullif(p_size % 3, 0) period, p_partkey // 100 nk, p_brand gene, 'TR' || p_partkey nm from part)"
 SQL_TARGETS = "targets as (select k, chrom, s, e from regions union all select k, ((k + 1) % 5)::varchar, k + 30, k + 40 from regions where k % 10 = 0)"
 SQL_OWN = "own as (select distinct sample, k, qname from reads r join targets t on r.chrom = t.chrom and r.s < t.e and t.s < r.e)"
-SQL_NORMS = "norms as (select i nk, (i % 5)::varchar chrom, i * 100 s, i * 100 + 150 e from range(10) x(i))"
+SQL_NORMS = "norms as (select distinct nk, (nk % 5)::varchar chrom, nk * 100 s, nk * 100 + 150 e from regions), places as (select nk, chrom, s, e from norms union all select nk, ((nk + 1) % 5)::varchar, s + 30, s + 60 from norms where nk % 3 = 0)"
 SQL_LINKS = "links as (select n.nk, g.k, least(n.e, g.e) - greatest(n.s, g.s) bp from norms n join regions g on n.chrom = g.chrom and n.s < g.e and g.s < n.e)"
-SQL_WINDOWS = f"norms as (select k nk, chrom, greatest(0, s - {WINDOW}) s, e + {WINDOW} e from regions)"
-SQL_WIDE = "wide as (select distinct sample, nk, qname from reads r join norms t on r.chrom = t.chrom and r.s < t.e and t.s < r.e)"
+SQL_WINDOWS = f"norms as (select k nk, chrom, greatest(0, s - {WINDOW}) s, e + {WINDOW} e from regions), places as (select nk, chrom, s, e from norms union all select k, ((k + 1) % 5)::varchar, greatest(0, k + 30 - {WINDOW}), k + 40 + {WINDOW} from regions where k % 10 = 0)"
+SQL_WIDE = "wide as (select distinct sample, nk, qname from reads r join places t on r.chrom = t.chrom and r.s < t.e and t.s < r.e)"
 SQL_OUT = "gone as (select distinct sample, nk, qname from own join links using (k))"
 SQL_BACK = "back as (select sample, nk, count(*) n_back from (select * from wide except select * from gone) group by all)"
 SQL_COUNTS = "counts as (select s.sample, g.k, count(o.qname) n_reads from (select distinct l_returnflag sample from lineitem) s cross join regions g left join own o on o.sample = s.sample and o.k = g.k group by all)"
-SQL_GENES = "genes as (select (o_custkey % 5)::varchar chrom, o_orderkey % 20000 s, o_orderkey % 20000 + o_custkey % 90 + 1 e, 'g' || o_orderkey gene, o_orderstatus = 'O' coding from orders where o_orderkey % 40 = 0)"
+SQL_GENES = "genes as (select (o_custkey % 5)::varchar chrom, o_orderkey % 20000 s, o_orderkey % 20000 + o_custkey % 90 + 1 e, 'g' || o_orderkey gene, o_orderstatus = 'O' coding, o_orderstatus st from orders)"
 SQL_CALLS = "calls as (select site, cn1, cn2, greatest(cn1, cn2) hap1, case when cn1 is not null and cn2 is not null then least(cn1, cn2) end hap2 from (select l_orderkey site, case when l_returnflag <> 'N' then l_linenumber % 4 + 1 end cn1, case when l_returnflag <> 'R' then l_suppkey % 3 + 1 end cn2 from lineitem))"
 
 QUERIES, ORACLES = {}, {}
@@ -118,7 +111,7 @@ def density_ratio_gene(spark, d):
     "full_ as (select c.sample, c.k, n_reads, g.s, g.e, period, el, n_back from counts c join regions g using (k) left join lens on lens.nk = c.k left join back b on b.sample = c.sample and b.nk = c.k) " + _RATIO
 )
 def density_ratio_local(spark, d):
-    return counting.local_mode(reads(spark, d), samples(spark, d), regions(spark, d), WINDOW, alternates=False)
+    return counting.local_mode(reads(spark, d), samples(spark, d), regions(spark, d), WINDOW)
 
 
 @query(_GENE.rstrip(", ") + " select nk as norm_key, el::bigint as effective_length from lens")
@@ -147,54 +140,44 @@ def max_overlap_gene(spark, d):
     return overlap.most_overlap(regions(spark, d), genes(spark, d))
 
 
-@query("select p_partkey as key, p_name as name, p_brand as gene from part where p_partkey <= 1000 and (p_brand in ('Brand#11', 'Brand#22') or p_partkey = 7)")
+@query("select p_partkey as key, 'TR' || p_partkey as name, p_brand as gene from part where p_brand in ('Brand#11', 'Brand#22') or p_partkey in (7, 1234)")
 def region_select_or(spark, d):
-    r = regions(spark, d)
-    seventh = [x[0] for x in r.where("key = 7").select("name").collect()]
-    picked = selection.select_regions(r, ["Brand#11", "Brand#22"], seventh).where("gene in ('Brand#11', 'Brand#22') or key = 7")
-    return picked.select("key", "name", "gene")
-
-
-# The same plans over all parts and orders; tests compare them with a brute-force version.
-
-
-@query()
-def overlap_read_count_whole(spark, d):
-    r = regions(spark, d, whole=True)
-    return counting.read_counts(counting.hits(reads(spark, d), counting.targets(r)), samples(spark, d), r)
+    return selection.select_regions(regions(spark, d), ["Brand#11", "Brand#22"], ["TR7", "TR1234"]).select("key", "name", "gene")
 
 
-@query()
-def density_ratio_gene_whole(spark, d):
-    return counting.gene_mode(reads(spark, d), samples(spark, d), regions(spark, d, whole=True), whole_norms(spark, d))
-
-
-@query()
-def density_ratio_local_whole(spark, d):
-    return counting.local_mode(reads(spark, d), samples(spark, d), regions(spark, d, whole=True), WINDOW)
+@query("select 'name' as selector, 'TR-2' as value union all select 'gene', 'Brand#99'")
+def region_select_unmatched(spark, d):
+    r = regions(spark, d)
+    by = lambda column, wanted: selection.unmatched(r, column, wanted).select(F.lit(column).alias("selector"), F.col(column).alias("value"))
+    return by("name", ["TR7", "TR-2", "TR1"]).unionByName(by("gene", ["Brand#99", "Brand#11"]))
 
 
-@query()
-def gene_eff_len_whole(spark, d):
-    n = whole_norms(spark, d)
-    return counting.effective_lengths(n, counting.overlapping_regions(n, regions(spark, d, whole=True).select("key", "chrom", "start", "end")))
+@query("select p_partkey as key, (p_partkey % 5)::varchar as chrom from part where p_partkey % 5 in (1, 3)")
+def chromosome_filter(spark, d):
+    return selection.on_chromosomes(regions(spark, d), ["1", "3", "7"]).select("key", "chrom")
 
 
-@query()
-def nearest_gene_whole(spark, d):
-    return overlap.nearest_gene(regions(spark, d, whole=True), genes(spark, d, whole=True))
+_KEYS = "keys as (select k, case when k % 3 = 0 then 'chr' || k % 5 || ':' || k || '-' || k + 200 when k % 3 = 1 then 'g' || k else 'chr' || k || ':x-1' end nk from regions)"
 
 
-@query()
-def max_overlap_gene_whole(spark, d):
-    return overlap.most_overlap(regions(spark, d, whole=True), genes(spark, d, whole=True))
+@query(
+    f"with {SQL_REGIONS}, {SQL_GENES}, {_KEYS} select nk as norm_key, any_value(case when k % 3 = 0 then 'chr' || k % 5 when k % 3 = 1 then g.chrom end) as chrom, "
+    'any_value(case when k % 3 = 0 then k when k % 3 = 1 then g.s end) as "start", any_value(case when k % 3 = 0 then k + 200 when k % 3 = 1 then g.e end) as "end" from keys left join genes g on g.gene = nk group by nk'
+)
+def norm_target_lookup(spark, d):
+    k = F.col("key")
+    place = F.concat(F.lit("chr"), (k % 5).cast("string"), F.lit(":"), k.cast("string"), F.lit("-"), (k + 200).cast("string"))
+    key = F.when(k % 3 == 0, place).when(k % 3 == 1, F.concat(F.lit("g"), k.cast("string"))).otherwise(F.concat(F.lit("chr"), k.cast("string"), F.lit(":x-1")))
+    return normalization.targets_of(regions(spark, d).withColumn("norm_key", key), genes(spark, d))
 
 
-@query()
-def region_select_or_whole(spark, d):
-    r = regions(spark, d, whole=True)
-    seventh = [x[0] for x in r.where("key = 7").select("name").collect()]
-    return selection.select_regions(r, ["Brand#11", "Brand#22"], seventh).where("gene in ('Brand#11', 'Brand#22') or key = 7").select("key", "name", "gene")
+@query(
+    f"with {SQL_REGIONS}, {SQL_GENES}, all_ as (select r.k, g.gene, {_DIST} dist, -{_BP} o, not coding c from regions r join genes g on r.chrom = g.chrom where r.k % 2 = 0 and g.st in ('O', 'P')), best as (select *, rank() over (partition by k order by dist, o, c) rk from all_) "
+    "select r.k as key, coalesce(case when r.k % 2 = 1 then any_value(r.gene) end, min(b.gene)) norm_key from regions r left join best b on b.k = r.k and rk = 1 group by r.k"
+)
+def norm_gene_eligible(spark, d):
+    r = regions(spark, d).drop("norm_key").withColumn("gene", F.when(F.col("key") % 2 == 1, F.col("gene")))
+    return normalization.assign_genes(r, genes(spark, d), ["protein_coding", "lncRNA"]).select("key", "norm_key")
 
 
 @query("select n_name as name, 0 as source from nation union all select case when n_name in (select n_name from nation) then n_name || '_UserSupplied' else n_name end, 1 from (select n_name from nation where n_nationkey < 5 union all select r_name || '*' from region)")
@@ -207,7 +190,7 @@ def merge_rename(spark, d):
 _BLOCKS = "blocks as (select t, q, z from (values (100, 10, 20), (120, 45, 30), (160, 80, 25)) b(t, q, z))"
 _LIFT = (
     f"with {_BLOCKS}, regions as (select p_partkey k, 80 + p_partkey % 110 s, 80 + p_partkey % 110 + p_size e, case when p_partkey % 2 = 0 then '+' else '-' end st from part), "
-    "spans as (select k, st, q + greatest(s, t) - t lo, q + least(e, t + z) - t hi from regions, blocks where t < e and t + z > s union all select k, st, a, b from regions, (values (120, 30, 45), (150, 75, 80)) j(t, a, b) where t between s and e), "
+    "spans as (select k, st, q + greatest(s, t) - t lo, q + least(e, t + z) - t hi from regions, blocks where t < e and t + z > s union all select k, st, a, b from regions, (values (120, 30, 45)) j(t, a, b) where t between s and e), "
     "u as (select k, st, min(lo) lo, max(hi) hi from spans group by all) select k as key, 'alt1' as alt_name, case when st = '+' then lo else 200 - hi end as \"start\", case when st = '+' then hi else 200 - lo end as \"end\" from u"
 )
 

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ..functions.metrics import allele_copies, genotype_copies, haplotypes
 from ..functions.rounding import plain_number, round_half_even
 
+# Fixed names: the columns of the export.
 STATISTICS = ["mean_hap1", "mean_hap2", "var_hap1", "var_hap2", "mean_combined", "var_combined", "h_exp", "h_obs"]
 
 
@@ -42,16 +43,29 @@ def with_statistics(sites: DataFrame) -> DataFrame:
         return F.struct(a.alias("cn1"), b.alias("cn2"), first.alias("hap1"), second.alias("hap2"))
 
     df = copies.withColumn("calls", F.transform("genotypes", call)).drop("copies")
-    first, second = _known(F.col("calls.hap1")), _known(F.col("calls.hap2"))
-    whole = F.filter("calls", lambda c: c["hap2"].isNotNull())
-    both = F.transform(whole, lambda c: c["hap1"] + c["hap2"])
-    alleles = _known(F.flatten(F.transform("calls", lambda c: F.array(c["cn1"], c["cn2"]))))
-    n = F.size(alleles).cast("double")
-    shares = F.transform(F.array_distinct(alleles), lambda d: F.size(F.filter(alleles, lambda x: x == d)).cast("double") / n)
-    expected = F.when(n > 0, F.lit(1.0) - F.aggregate(shares, F.lit(0.0), lambda a, p: a + p * p))
-    differing = F.size(F.filter(whole, lambda c: c["cn1"] != c["cn2"])).cast("double")
-    values = [_mean(first), _mean(second), _variance(first), _variance(second), _mean(both), _variance(both), expected, F.try_divide(differing, F.size(whole).cast("double"))]
-    return df.withColumns({name: round_half_even(v, 4) for name, v in zip(STATISTICS, values)})
+    once = lambda value, body: F.element_at(F.transform(F.array(value), body), 1)  # noqa: E731  # value is computed once
+
+    def moments(values: Column) -> tuple[Column, Column]:
+        return once(values, _mean), once(values, _variance)
+
+    def expected(alleles: Column) -> Column:
+        n = F.size(alleles).cast("double")
+        shares = F.transform(F.array_distinct(alleles), lambda d: F.size(F.filter(alleles, lambda x: x == d)).cast("double") / n)
+        return F.when(n > 0, F.lit(1.0) - F.aggregate(shares, F.lit(0.0), lambda a, p: a + p * p))
+
+    def observed(whole: Column) -> Column:
+        return F.try_divide(F.size(F.filter(whole, lambda c: c["cn1"] != c["cn2"])).cast("double"), F.size(whole).cast("double"))
+
+    def statistics(calls: Column) -> Column:
+        whole = F.filter(calls, lambda c: c["hap2"].isNotNull())
+        first, second = moments(_known(F.transform(calls, lambda c: c["hap1"]))), moments(_known(F.transform(calls, lambda c: c["hap2"])))
+        both = moments(F.transform(whole, lambda c: c["hap1"] + c["hap2"]))
+        alleles = _known(F.flatten(F.transform(calls, lambda c: F.array(c["cn1"], c["cn2"]))))
+        values = [first[0], second[0], first[1], second[1], both[0], both[1], once(alleles, expected), once(whole, observed)]
+        return F.struct(*(round_half_even(v, 4).alias(name) for name, v in zip(STATISTICS, values)))
+
+    found = df.withColumn("__statistics", once(F.col("calls"), statistics))
+    return found.select(*(F.col(f"`{c}`") for c in df.columns), *(F.col(f"__statistics.{s}").alias(s) for s in STATISTICS))
 
 
 def with_catalogue(sites: DataFrame, catalogue: DataFrame) -> DataFrame:

@@ -5,9 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.metrics import PRIMARY, gtf_attribute, period
-
-ALT = "array<struct<chrom:string,start:bigint,end:bigint>>"
+from ..functions.metrics import ALT, PRIMARY, gtf_attribute, period
 
 
 class InputError(ValueError):
@@ -36,7 +34,7 @@ def alternate_triplets(fields: Column, first: Column) -> Column:
     every = F.transform(
         at,
         lambda i: F.struct(
-            F.get(fields, (first + i * 3).cast("int")).alias("chrom"),
+            F.regexp_replace(F.get(fields, (first + i * 3).cast("int")), r"^\s+|\s+$", "").alias("chrom"),
             _int(F.get(fields, (first + i * 3 + 1).cast("int"))).alias("start"),
             _int(F.get(fields, (first + i * 3 + 2).cast("int"))).alias("end"),
         ),
@@ -128,6 +126,20 @@ def parse_sam(rows: DataFrame, sample: str) -> DataFrame:
     return found.select(F.lit(sample).alias("sample"), F.get(f, F.lit(0)).alias("qname"), F.get(f, F.lit(2)).alias("chrom"), pos.alias("start"), (pos + F.greatest(span, F.lit(1))).alias("end"), (flag.bitwiseAND(F.lit(4)) != 0).alias("is_unmapped"))
 
 
+def read_alignments(spark: SparkSession, path: str, sample: str) -> DataFrame:
+    """Reads of a file by its suffix: SAM text (plain or .gz), BAM, or Parquet with these columns; CRAM can't be read."""
+    low = path.lower()
+    if low.endswith(".cram"):
+        raise InputError(f"{path}: CRAM can't be decoded; convert it to BAM or SAM")
+    if low.endswith(".bam"):
+        from .bam import read_bam
+
+        return read_bam(spark, path, sample)
+    if low.endswith(".parquet"):
+        return spark.read.parquet(path).select(F.lit(sample).alias("sample"), "qname", "chrom", F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end"), "is_unmapped")
+    return parse_sam(spark.read.text(path).withColumnRenamed("value", "line"), sample)
+
+
 def sample_name(path: Column) -> Column:
     """The file's name less one alignment suffix."""
     return F.regexp_replace(F.element_at(F.split(path, "/"), -1), r"(?i)\.(cram|bam|sam)$", "")
@@ -143,13 +155,82 @@ def parse_sites(rows: DataFrame) -> DataFrame:
     )
 
 
+def sample_names(spark: SparkSession, path: str) -> list[str]:
+    """Samples of a population VCF: the fields after the ninth of the #CHROM line."""
+    first = spark.read.text(path).where(F.col("value").startswith("#CHROM")).limit(1).collect()
+    return first[0][0].split("\t")[9:] if first else []
+
+
 def region_list(rows: DataFrame) -> DataFrame:
-    """A headerless list of intervals: short rows and rows without whole numbers are dropped."""
+    """A headerless list of intervals (ord, line), without periods: short rows and rows without whole numbers are dropped."""
     f = F.col("f")
-    found = _fields(rows).where(F.size("f") >= 3).select("ord", F.get(f, F.lit(0)).alias("chrom"), _int(F.get(f, F.lit(1))).alias("start"), _int(F.get(f, F.lit(2))).alias("end"), period(F.get(f, F.lit(3))).alias("period"))
+    found = _fields(rows).where(F.size("f") >= 3).select("ord", F.get(f, F.lit(0)).alias("chrom"), _int(F.get(f, F.lit(1))).alias("start"), _int(F.get(f, F.lit(2))).alias("end"), F.lit(None).cast("int").alias("period"))
     return found.where("start is not null and end is not null")
 
 
+def _places(header: list[str], path: str, first_period: bool) -> tuple[str, str, str, str | None]:
+    """The names of the columns of chromosome, start, end and period, whatever their case."""
+    by = {h.lower(): h for h in header}
+    chrom = by.get("chrom") or by.get("chr")
+    if not (chrom and "start" in by and "end" in by):
+        raise InputError(f"{path}: columns chrom (or chr), start and end are needed, found {header}")
+    periods = [h for h in header if h.lower() in ("cons_len", "period")]
+    period_ = (periods[0] if periods else None) if first_period else by.get("cons_len") or by.get("period")
+    return chrom, by["start"], by["end"], period_
+
+
+def read_region_list(spark: SparkSession, path: str) -> DataFrame:
+    """(ord, chrom, start, end, period) of a list: CSV with a header, or tab-separated with or without one.
+
+    A tab-separated file has no header if its second field is a whole number. With a header,
+    rows too short are dropped and others must hold whole numbers; without one, both are
+    dropped. Of several columns for the period, CSV prefers cons_len, a tab-separated file
+    takes the first.
+    """
+    low = path.lower()
+    if low.endswith((".xlsx", ".xls")):
+        raise InputError(f"{path}: spreadsheets can't be read; save the list as CSV")
+    place = F.struct(F.col("_metadata.file_path"), F.col("_metadata.file_block_start"), F.monotonically_increasing_id())
+    if low.endswith((".csv", ".csv.gz")):
+        table = spark.read.option("header", True).csv(path)
+        chrom, start, end, size = _places(table.columns, path, False)
+        # Only fixed names, as a column may be called like anything.
+        col = lambda c: F.col(f"`{c}`")
+        return table.select(place.alias("ord"), col(chrom).alias("chrom"), col(start).cast("long").alias("start"), col(end).cast("long").alias("end"), (period(col(size)) if size else F.lit(None).cast("int")).alias("period"))
+    text = spark.read.text(path).select(place.alias("ord"), F.col("value").alias("line")).where(~F.col("line").startswith("#"))
+    first = text.orderBy("ord").limit(1).collect()
+    if not first:
+        raise InputError(f"{path}: no rows")
+    header = first[0].line.split("\t")
+    if len(header) > 1 and header[1].lstrip("-").isdigit():
+        return region_list(text)
+    chrom, start, end, size = (header.index(h) if h is not None else None for h in _places(header, path, True))
+    f = F.col("f")
+    rows = _fields(text.where(F.col("line") != first[0].line)).where(F.size("f") > max(chrom, start, end))
+    at = lambda i: F.get(f, F.lit(i))
+    return rows.select("ord", at(chrom).alias("chrom"), at(start).cast("long").alias("start"), at(end).cast("long").alias("end"), (period(at(size)) if size is not None else F.lit(None).cast("int")).alias("period"))
+
+
+# Fixed names: the columns of a catalogue file, in order.
+CATALOGUE = [
+    "chrom", "start", "end", "motifs", "cluster_type", "vntr_type", "cons_len", "cons_seq", "col_8", "col_9", "col_10", "col_11",
+    "genomic_context", "bio_context_1", "bio_context_2", "bio_context_3",
+]
+
+
+def read_catalogue(spark: SparkSession, path: str) -> DataFrame:
+    """ord and the CATALOGUE columns, as text, of a tab-separated file without a header."""
+    place = F.struct(F.col("_metadata.file_path"), F.col("_metadata.file_block_start"), F.monotonically_increasing_id())
+    fields = F.split("value", "\t")
+    return spark.read.text(path).where("value <> ''").select(place.alias("ord"), *(F.get(fields, F.lit(i)).alias(c) for i, c in enumerate(CATALOGUE)))
+
+
+def read_summary(spark: SparkSession, path: str, numbers: list[str]) -> DataFrame:
+    """A summary table (CSV with header, or Parquet) with ``numbers`` as doubles, null where they aren't numbers."""
+    table = spark.read.parquet(path) if path.endswith(".parquet") else spark.read.option("header", True).csv(path)
+    return table.withColumns({c: F.col(c).try_cast("double") for c in numbers})
+
+
 def wide_rows(values: DataFrame) -> DataFrame:
     """(ord, line) of a sample by region table from (input_ord, sample, metric, region_ord, value): one text line a sample, nulls empty."""
     cells = F.array_sort(F.collect_list(F.struct("region_ord", F.coalesce(F.col("value").cast("string"), F.lit("")).alias("v"))))
