@@ -29,7 +29,7 @@ PATTERNS = {
     "address": r"(?<![0-9.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?![0-9]|\.[0-9])",
     "date": r"(?<![0-9./-])(?:[0-9]{4}([-/.])[0-9]{1,2}\1[0-9]{1,2}|[0-9]{1,2}([-/.])[0-9]{1,2}\2[0-9]{4})(?![0-9]|[./-][0-9])",
     "social": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
-    "card": r"(?<![0-9])(?<![0-9][.-])(?=[0-9](?:[ -]?[0-9]){12})[0-9][0-9 -]*[0-9]",
+    "card": r"(?<![0-9])(?<![0-9][.-])(?=[0-9](?:[ -]?[0-9]){12})[0-9][0-9 -]*[0-9](?![0-9]|\.[0-9])",
     "world": r"(?<![0-9.+])\+(?!1[ .-]?\(?[0-9]{3}\)?[ .-])[1-9][0-9]{0,2}(?:[ .-]?(?:\([0-9]{1,4}\)|[0-9]{1,12})){1,6}(?![0-9])",
     "trunk": r"(?<![0-9.+-])(?:\(0[1-9][0-9]{1,4}\)[ ]?|0[1-9][0-9]{1,4}[ /-])[0-9]{3,8}(?:[ -][0-9]{2,5})?(?![0-9])|(?<![0-9.+-])0[1-9](?:[ .-][0-9]{2}){4}(?![0-9])",
     "phone": r"(?<![0-9.])(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{3}\) ?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}(?![0-9])",

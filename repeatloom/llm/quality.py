@@ -17,10 +17,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import _text as X
-from ._staging import stage
 
 BLOCK_BYTES = 2_000_000
-#: Most labelled rows the classifier is fitted on; with more, a sample by hash of doc_id.
+#: Most labelled documents the classifier is fitted on; with more, a sample by hash of doc_id.
 MAX_ROWS = 20_000
 TREES, DEPTH, RATE, BINS = 40, 3, 0.3, 24
 LASSO = 1e-3
@@ -153,9 +152,9 @@ class RuleModel:
             total = total + F.when(reduce(Column.__and__, tests), F.lit(weight)).otherwise(F.lit(0.0))
         return total
 
-    def column(self) -> Column:
-        """The score as a Spark expression over STATISTICS."""
-        return F.lit(1.0) / (F.lit(1.0) + F.exp(-self.margin()))
+    def column(self, of=F.col) -> Column:
+        """The score as a Spark expression over STATISTICS; ``of`` gives the column of a statistic."""
+        return F.lit(1.0) / (F.lit(1.0) + F.exp(-self.margin(of)))
 
 
 def fit(x: np.ndarray, y: np.ndarray) -> RuleModel:
@@ -173,6 +172,8 @@ def fit(x: np.ndarray, y: np.ndarray) -> RuleModel:
         update = np.zeros(len(y))
         _tree(binned, cuts, p - y, p * (1 - p), np.arange(len(y)), DEPTH, frozenset(), rules, update)
         margin += update
+    if not rules:  # too few rows to split
+        return RuleModel(float(np.log(rate / (1 - rate))), [])
     rules = sorted(rules)
     holds = np.column_stack([np.logical_and.reduce([(x[:, f] > cut) == above for f, above, cut in r]) for r in rules]).astype(np.float32)
     centre = holds.mean(0)
@@ -197,14 +198,18 @@ def fit(x: np.ndarray, y: np.ndarray) -> RuleModel:
     return RuleModel(float(b - raw @ centre), [(float(raw[k]), rules[k]) for k in kept])
 
 
-def training_rows(stats: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> tuple[np.ndarray, np.ndarray]:
-    """Statistics and labels of at most about max_rows labelled documents that are not held out."""
-    known = labels.where("quality is not null and doc_id is not null").groupBy("doc_id").agg(F.max("quality").alias("quality"))
+def training_rows(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> tuple[np.ndarray, np.ndarray]:
+    """Statistics and labels of at most max_rows labelled documents that are not held out.
+
+    Statistics are computed of these documents only. Of rows that repeat a doc_id the least
+    text counts, of labels the best.
+    """
+    known = labels.where("quality is not null and doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("quality").alias("quality"))
     known = known.where(F.crc32(F.col("doc_id").cast("string")) % 3 != 1)
-    count = known.count()
-    if count > max_rows:
-        known = known.where(F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(1 << 30)) < int((1 << 30) * max_rows / count))
-    rows = stats.join(known, "doc_id").select("quality", *STATISTICS).toPandas()
+    known = known.orderBy(F.xxhash64("doc_id", F.lit(7)), "doc_id").limit(max_rows)
+    chosen = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(known.select("doc_id")), "doc_id", "left_semi")
+    chosen = chosen.groupBy("doc_id").agg(F.min("text").alias("text"))
+    rows = statistics(chosen).join(F.broadcast(known), "doc_id").select("quality", *STATISTICS).toPandas()
     rows = rows.sort_values(list(rows.columns), ignore_index=True)
     return rows[STATISTICS].to_numpy(float), (rows["quality"].to_numpy() == 1).astype(float)
 
@@ -217,16 +222,22 @@ def score_quality(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS)
     stays null and counts as not held out; other columns are ignored; an empty table gives
     an empty result; without any label the score is 0.5. Very long texts are taken whole.
     """
-    stats = stage(statistics(docs))
-    model = fit(*training_rows(stats, labels, max_rows))
+    model = fit(*training_rows(docs, labels, max_rows))
     held = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 3 == 1, F.lit(False))
-    return stats.select("doc_id", held.alias("held_out"), model.column().alias("score")).withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
+    scored = statistics(docs).select("doc_id", held.alias("held_out"), model.column().alias("score"))
+    return scored.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> DataFrame:
-    """The rows of ``docs`` predicted to be of good quality, all columns unchanged."""
-    model = fit(*training_rows(statistics(docs), labels, max_rows))
+    """The rows of ``docs`` that ``score_quality`` predicts to be of good quality, all columns unchanged, whatever their names.
+
+    Null and empty texts, repeated rows, null doc_ids and very long texts are scored like
+    any other; an empty table gives an empty result; without any label all rows stay.
+    """
+    model = fit(*training_rows(docs, labels, max_rows))
     columns, kept = docs.columns, "__stats"
+    while kept in columns:
+        kept += "_"
 
     def run(batches):
         for block in X.text_blocks(batches, BLOCK_BYTES):
@@ -236,6 +247,5 @@ def keep_good(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> D
 
     numbers = T.StructType([T.StructField(s, T.DoubleType()) for s in STATISTICS])
     schema = T.StructType([*docs.schema.fields, T.StructField(kept, numbers)])
-    inside = F.col(kept)
     scored = docs.mapInArrow(run, schema)
-    return scored.where(model.margin(inside.getField) >= 0).select(*(F.col(f"`{c}`") for c in columns))
+    return scored.where(model.column(F.col(kept).getField) >= 0.5).select(*(F.col(f"`{c}`") for c in columns))
