@@ -88,3 +88,15 @@ def text_bytes(docs: DataFrame, column: str = "text") -> int:
 
 def parts(total: int, each: int) -> int:
     return max(1, -(-total // each))
+
+
+#: Rows that one sender deals to receivers, at most. With more receivers, rows go by way of
+#: nodes that gather the rows of FAN senders for a share of the receivers and deal them on,
+#: so that the number of rows grows with the input and not with its square.
+FAN = 4096
+
+
+def levels(n: int) -> tuple[int, int]:
+    """(coarse, fine) for n receivers or a few more: a sender deals to coarse ones, each of which deals to fine ones; fine is 1 up to FAN."""
+    fine = parts(n, FAN)
+    return parts(n, fine), fine

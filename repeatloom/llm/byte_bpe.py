@@ -8,7 +8,8 @@ are reassembled by position. Decoding joins ids with the token-byte table (fixed
 vocabulary) and concatenates.
 
 Both uses of the blocks read one exchange. What travels is the dictionaries and one or
-two bytes per pre-token, never the texts.
+two bytes per pre-token, never the texts. A block asks at most FAN buckets: beyond as many,
+nodes in between gather the distinct words of FAN blocks, ask on and hand the answers back.
 """
 
 from __future__ import annotations
@@ -25,11 +26,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import _text as X
-from ._staging import parts, replayable, text_bytes
+from . import _staging
+from ._staging import levels, parts, replayable, text_bytes
 
 BLOCK_BYTES = 4_000_000
 BUCKET_BYTES = 16_000_000
 
+_ROWS = pa.schema([("key", pa.int64()), ("doc_id", pa.int64()), ("bucket", pa.int32()), ("payload", pa.binary())])
 _ANSWER = pa.schema([("key", pa.int64()), ("payload", pa.binary())])
 _OUT = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids", pa.list_(pa.int32())), ("decoded", pa.binary())])
 _PARTS = "key long, doc_id long, bucket int, payload binary"
@@ -125,8 +128,29 @@ def distinct_pieces(cps: np.ndarray, starts: np.ndarray, ends: np.ndarray, joine
     return words, rank[index]
 
 
-def _cut(n_buckets: int):
-    """Blocks of documents: a row per document, and a row per bucket with the block's distinct words."""
+def _buckets(words: list[bytes], n: int) -> np.ndarray:
+    """The bucket of each word, by its hash."""
+    flat = np.frombuffer(b"".join(words), np.uint8)
+    stop = np.cumsum([len(w) for w in words])
+    return (X.slice_hashes(flat, np.concatenate([[0], stop[:-1]]), stop) % np.uint64(n)).astype(np.int64)
+
+
+def _requests(raw: list[bytes], bucket: np.ndarray, sender: int, base: int):
+    """A row per bucket with its words, and their places among all."""
+    order = np.argsort(bucket, kind="stable")
+    used, first = np.unique(bucket[order], return_index=True)
+    edges = [*first.tolist(), len(order)]
+    blobs = [
+        struct.pack("<q", sender) + _pack_parts(pack_varints(np.diff(order[i:j], prepend=0)), pack_varints(_sizes(own)), b"".join(own))
+        for i, j in zip(edges, edges[1:])
+        for own in [[raw[k] for k in order[i:j].tolist()]]
+    ]
+    columns = [pa.array((-1 - base - used).tolist(), pa.int64()), pa.nulls(len(blobs), pa.int64()), pa.array(used.tolist(), pa.int32()), pa.array(blobs, pa.binary())]
+    return pa.RecordBatch.from_arrays(columns, schema=_ROWS)
+
+
+def _cut(coarse: int, fine: int, groups: int):
+    """Blocks of documents: a row per document, and a row per coarse bucket with the block's distinct words."""
 
     def run(batches):
         task = TaskContext.get().partitionId()
@@ -153,76 +177,95 @@ def _cut(n_buckets: int):
             if not words:
                 continue
             raw = [w.encode("utf-8", "surrogatepass") for w in words]
-            flat = np.frombuffer(b"".join(raw), np.uint8)
-            stop = np.cumsum([len(w) for w in raw])
-            bucket = (X.slice_hashes(flat, np.concatenate([[0], stop[:-1]]), stop) % np.uint64(n_buckets)).astype(np.int64)
-            order = np.argsort(bucket, kind="stable")
-            used, first = np.unique(bucket[order], return_index=True)
-            edges = [*first.tolist(), len(order)]
-            blobs = [
-                struct.pack("<q", key) + _pack_parts(pack_varints(np.diff(order[i:j], prepend=0)), pack_varints(_sizes(own)), b"".join(own))
-                for i, j in zip(edges, edges[1:])
-                for own in [[raw[k] for k in order[i:j].tolist()]]
-            ]
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array((-1 - used).tolist(), pa.int64()),
-                    pa.nulls(len(blobs), pa.int64()),
-                    pa.array(used.tolist(), pa.int32()),
-                    pa.array(blobs, pa.binary()),
-                ],
-                ["key", "doc_id", "bucket", "payload"],
-            )
+            group = int(X.mix(np.array([key], np.uint64))[0] % np.uint64(groups))
+            yield _requests(raw, _buckets(raw, coarse * fine) // fine, key, group * coarse)
+
+    return run
+
+
+def _asked(batches) -> list[tuple[int, np.ndarray, list[bytes]]]:
+    """(sender, packed places, words) of the requests among the rows."""
+    out = []
+    for batch in batches:
+        for bucket, payload in zip(batch.column("bucket").to_pylist(), batch.column("payload")):
+            if bucket >= 0:
+                blob = payload.as_py()
+                places, sizes, words = _unpack_parts(blob[8:], 3)
+                out.append((*struct.unpack_from("<q", blob), places, _cut_up(words, unpack_varints(sizes))))
+    return out
+
+
+def _ask_on(coarse: int, fine: int):
+    """The distinct words of a coarse bucket's requests, asked once of the fine buckets of its share."""
+
+    def run(key, batches):
+        asked = _asked(batches)
+        if asked:
+            raw = sorted({w for *_, words in asked for w in words})  # in an order that does not depend on who came first
+            yield _requests(raw, _buckets(raw, coarse * fine), key[0].as_py(), 0)
 
     return run
 
 
+def _hand_back(key, left, right):
+    """The answers to a coarse bucket, for each of the blocks that asked it."""
+    asked = _asked(left)
+    if asked:
+        place = {w: k for k, w in enumerate(sorted({w for *_, words in asked for w in words}))}
+        known = [b""] * len(place)
+        for k, ids in _answers(right):
+            known[k] = ids
+        yield _told([(block, places, [known[place[w]] for w in words]) for block, places, words in asked])
+
+
+def _told(answers: list) -> pa.RecordBatch:
+    """A row for each sender: its places, and for each the ids; of these the upper bytes are mostly alike."""
+    payloads = []
+    for _, places, ids in answers:
+        planes = np.frombuffer(b"".join(ids), np.uint8).reshape(-1, 4).T.tobytes()
+        payloads.append(_pack_parts(places, pack_varints(_sizes(ids) // 4), planes))
+    return pa.RecordBatch.from_arrays([pa.array([a[0] for a in answers], pa.int64()), pa.array(payloads, pa.binary())], schema=_ANSWER)
+
+
+def _answers(batches):
+    """(place, ids) of all words that were answered."""
+    for batch in batches:
+        for payload in batch.column("payload"):
+            places, sizes, planes = _unpack_parts(payload.as_py(), 3)
+            ids = np.ascontiguousarray(np.frombuffer(planes, np.uint8).reshape(4, -1).T).tobytes()
+            yield from zip(np.cumsum(unpack_varints(places)).tolist(), _cut_up(ids, unpack_varints(sizes) * 4))
+
+
 def _encode(held):
-    """Encode each distinct word of a bucket once; an answer row for every block that holds some of its words."""
+    """Encode each distinct word of a bucket once; an answer row for every sender that asked for some of its words."""
 
     def run(key, batches):
         encode, _ = _encoder(held.value)
         known: dict[bytes, bytes] = {}
         for batch in batches:
-            rows = [(b, p) for b, p in zip(batch.column("bucket").to_pylist(), batch.column("payload")) if b >= 0]
-            keys, payloads = [], []
-            for _, payload in rows:
-                blob = payload.as_py()
-                (block,) = struct.unpack_from("<q", blob)
-                places, sizes, words = _unpack_parts(blob[8:], 3)
+            told = []
+            for sender, places, words in _asked([batch]):
                 answers = []
-                for word in _cut_up(words, unpack_varints(sizes)):
+                for word in words:
                     ids = known.get(word)
                     if ids is None:
                         ids = known[word] = np.array(encode(word.decode("utf-8", "surrogatepass")), "<u4").tobytes()
                     answers.append(ids)
-                keys.append(block)
-                planes = np.frombuffer(b"".join(answers), np.uint8).reshape(-1, 4).T.tobytes()  # the upper bytes of ids are mostly alike
-                payloads.append(_pack_parts(places, pack_varints(_sizes(answers) // 4), planes))
-            if keys:
-                yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(payloads, pa.binary())], ["key", "payload"])
+                told.append((sender, places, answers))
+            if told:
+                yield _told(told)
 
     return run
 
 
 def _reassemble(held):
-    """Join the ids back to the documents of a block, by position, and decode them again."""
+    """Join the ids back to the documents of a block, by position, and decode them again with the token-byte table."""
 
     def run(key, left, right):
         _, token_bytes = _encoder(held.value)
-        where: list[np.ndarray] = []
-        answers: list[bytes] = []
-        for batch in right:
-            for payload in batch.column("payload"):
-                places, sizes, planes = _unpack_parts(payload.as_py(), 3)
-                where.append(np.cumsum(unpack_varints(places)))
-                ids = np.ascontiguousarray(np.frombuffer(planes, np.uint8).reshape(4, -1).T).tobytes()
-                answers += _cut_up(ids, unpack_varints(sizes) * 4)
-        at = np.concatenate(where) if where else np.zeros(0, np.int64)
-        encoded, decoded = [b""] * len(at), [b""] * len(at)
-        for k, answer in zip(at.tolist(), answers):
-            encoded[k] = answer
-            decoded[k] = b"".join([token_bytes[i] for i in struct.unpack(f"<{len(answer) // 4}I", answer)])
+        told = dict(_answers(right))
+        encoded = [told[k] for k in range(len(told))]  # every word of the block is answered
+        decoded = [b"".join([token_bytes[i] for i in struct.unpack(f"<{len(answer) // 4}I", answer)]) for answer in encoded]
         unpacker = zstandard.ZstdDecompressor()
         for batch in left:
             docs, ids, texts = [], [], []
@@ -252,7 +295,15 @@ def encode_decode(docs: DataFrame, ranks_path: str) -> DataFrame:
     with open(ranks_path, "rb") as file:
         held = docs.sparkSession.sparkContext.broadcast(file.read())
     total = text_bytes(docs)
-    n_buckets, n_blocks = parts(total, BUCKET_BYTES), parts(total, BLOCK_BYTES)
-    dealt = docs.mapInArrow(_cut(n_buckets), _PARTS).repartition(n_buckets + n_blocks, "key")
-    answers = dealt.groupBy("key").applyInArrow(X.on_tables(_encode(held), _ANSWER), "key long, payload binary")
+    n_blocks = parts(total, BLOCK_BYTES)
+    coarse, fine = levels(parts(total, BUCKET_BYTES))
+    groups = 1 if fine == 1 else parts(n_blocks, _staging.FAN)
+    dealt = docs.mapInArrow(_cut(coarse, fine, groups), _PARTS).repartition(coarse * groups + n_blocks, "key")
+    answer, asked = "key long, payload binary", dealt.groupBy("key")
+    encode = X.on_tables(_encode(held), _ANSWER)
+    if fine == 1:
+        answers = asked.applyInArrow(encode, answer)
+    else:
+        answers = asked.applyInArrow(X.on_tables(_ask_on(coarse, fine), _ROWS), _PARTS).groupBy("key").applyInArrow(encode, answer)
+        answers = asked.cogroup(answers.groupBy("key")).applyInArrow(X.on_tables(_hand_back, _ANSWER), answer)
     return dealt.groupBy("key").cogroup(answers.groupBy("key")).applyInArrow(X.on_tables(_reassemble(held), _OUT), _RESULT)

@@ -14,6 +14,9 @@
    further pair. Two sets of different components under one head either both share enough
    with it, or a link needs a shingle that the head lacks; pairs are generated by that.
 
+A block or bucket deals at most FAN rows: beyond as many buckets, nodes in between gather
+what FAN of them hold for a share of the buckets, and deal it on.
+
 Sets are told apart by a 64-bit fingerprint of their sorted hashes, shingles by a 64-bit
 hash: among n different sets two share a fingerprint with probability n**2 / 2**65.
 """
@@ -26,7 +29,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import _text as X
-from ._staging import parts, stage, text_bytes
+from . import _staging
+from ._staging import levels, parts, stage, text_bytes
 from .components import components
 
 BLOCK_BYTES = 4_000_000
@@ -39,6 +43,10 @@ LEVEL = 1.4
 
 U64 = np.uint64
 _DEALT = "bucket int, fps binary, sizes binary, docs array<long>, doc_fps array<long>, doc_sizes array<long>, hashes binary, ords binary"
+_LONGS = pa.list_(pa.int64())
+_DEALT_ARROW = pa.schema(
+    [("bucket", pa.int32()), ("fps", pa.binary()), ("sizes", pa.binary()), ("docs", _LONGS), ("doc_fps", _LONGS), ("doc_sizes", _LONGS), ("hashes", pa.binary()), ("ords", pa.binary())]
+)
 _FOUND_TYPES = "doc_id long, fp long, n long, dest int, fps binary, sizes binary, tokens binary, counts binary"
 _FOUND = pa.schema([("doc_id", pa.int64()), ("fp", pa.int64()), ("n", pa.int64()), ("dest", pa.int32()), *((c, pa.binary()) for c in ("fps", "sizes", "tokens", "counts"))])
 _SETS = pa.schema([("fp", pa.int64()), ("n", pa.int64()), ("s", pa.int64()), ("tokens", pa.list_(pa.int64())), ("sigs", pa.list_(pa.int64()))])
@@ -67,7 +75,14 @@ def fingerprints(sets: list[np.ndarray]) -> np.ndarray:
     return X.slice_hashes(X.mix(flat), starts, ends, 7)
 
 
-def _deal(n_buckets: int):
+def _bounds(n_buckets: int) -> np.ndarray:
+    """Where the hashes of each bucket begin."""
+    return np.array([(b << 64) // n_buckets for b in range(n_buckets)], U64)
+
+
+def _deal(n_buckets: int, groups: int):
+    """Blocks of documents dealt by hash to buckets, those of the block's group."""
+
     def run(batches):
         for block in X.text_blocks(batches, BLOCK_BYTES):
             for at in range(0, block.num_rows, 60_000):
@@ -89,9 +104,9 @@ def _deal(n_buckets: int):
             flat, ords = flat[order], ords[order]
         else:
             flat, ords = np.zeros(0, U64), np.zeros(0, np.uint16)
-        bounds = np.searchsorted(flat, np.array([(b << 64) // n_buckets for b in range(n_buckets)], U64))
-        edges = [*bounds.tolist(), len(flat)]
+        edges = [*np.searchsorted(flat, _bounds(n_buckets)).tolist(), len(flat)]
         doc_fps, doc_sizes = fps.view(np.int64), sizes
+        base = int(np.bitwise_xor.reduce(fps) % U64(groups)) * n_buckets if len(fps) else 0
         columns = [[] for _ in range(8)]
         for b in range(n_buckets):
             own = np.flatnonzero(home == b)
@@ -100,36 +115,74 @@ def _deal(n_buckets: int):
                 continue
             used, local = np.unique(ords[i:j], return_inverse=True)
             row = (
-                b, fps[where][used].tobytes(), sizes[where][used].astype("<u4").tobytes(),
+                base + b, fps[where][used].tobytes(), sizes[where][used].astype("<u4").tobytes(),
                 [ids[k] for k in own], doc_fps[own].tolist(), doc_sizes[own].tolist(),
                 X.pack_deltas(flat[i:j]), local.astype("<u2").tobytes(),
             )
             for column, value in zip(columns, row):
                 column.append(value)
-        longs = pa.list_(pa.int64())
-        kinds = [pa.int32(), pa.binary(), pa.binary(), longs, longs, longs, pa.binary(), pa.binary()]
-        names = ["bucket", "fps", "sizes", "docs", "doc_fps", "doc_sizes", "hashes", "ords"]
-        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names)
+        yield pa.RecordBatch.from_arrays([pa.array(c, k.type) for c, k in zip(columns, _DEALT_ARROW)], schema=_DEALT_ARROW)
+
+    return run
+
+
+def _held(batch) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(hashes, fingerprints, sizes) of the sets that hold them, for each row."""
+    out = []
+    for f, s, h, o in zip(*(batch.column(c) for c in ("fps", "sizes", "hashes", "ords"))):
+        own, places = X.unpack_deltas(h.as_py()), o.as_py()
+        at = np.frombuffer(places, "<u2" if len(places) == 2 * len(own) else "<u4")
+        out.append((own, np.frombuffer(f.as_py(), U64)[at], np.frombuffer(s.as_py(), "<u4")[at]))
+    return out
+
+
+def _members(batch) -> list[pa.Array]:
+    return [pa.chunked_array([batch.column(c)]).combine_chunks().flatten() for c in ("docs", "doc_fps", "doc_sizes")]
+
+
+def _deal_on(coarse: int, fine: int):
+    """What a node gathered, dealt to the buckets of its share; its documents go to the first of them."""
+
+    def run(key, batches):
+        rows, docs = [], [[], [], []]
+        for batch in batches:
+            rows += _held(batch)
+            for column, own in zip(docs, _members(batch)):
+                column += own.to_pylist()
+        h, f, s = (np.concatenate([r[k] for r in rows]) for k in range(3))
+        order = np.argsort(h, kind="stable")
+        h, f, s = h[order], f[order], s[order]
+        edges = [*np.searchsorted(h, _bounds(coarse * fine)).tolist(), len(h)]
+        first = key[0].as_py() % coarse * fine
+        columns = [[] for _ in _DEALT_ARROW]
+        for b in range(first, first + fine):
+            i, j = edges[b], edges[b + 1]
+            own = docs if b == first else ([], [], [])
+            if i < j or own[0]:
+                sets, where, local = np.unique(f[i:j], return_index=True, return_inverse=True)
+                row = (b, sets.tobytes(), s[i:j][where].astype("<u4").tobytes(), *own, X.pack_deltas(h[i:j]), local.astype("<u4").tobytes())
+                for column, value in zip(columns, row):
+                    column.append(value)
+        yield pa.RecordBatch.from_arrays([pa.array(c, k.type) for c, k in zip(columns, _DEALT_ARROW)], schema=_DEALT_ARROW)
 
     return run
 
 
-def _shared(n_buckets: int):
-    return lambda key, batches: _shared_of(batches, n_buckets)
+def _shared(coarse: int, fine: int):
+    return lambda key, batches: _shared_of(key[0].as_py(), batches, coarse, fine)
 
 
-def _shared_of(batches, n_buckets):
+def _shared_of(bucket, batches, coarse, fine):
     """A row for each document dealt here, and the shingles of this bucket that several sets hold, dealt by set."""
     hashes, fps, sizes = [], [], []
     for batch in batches:
-        docs, doc_fps, doc_sizes = (pa.chunked_array([batch.column(c)]).combine_chunks().flatten() for c in ("docs", "doc_fps", "doc_sizes"))
+        docs, doc_fps, doc_sizes = _members(batch)
         none = pa.nulls(len(docs), pa.binary())
         yield pa.RecordBatch.from_arrays([docs, doc_fps, doc_sizes, pa.nulls(len(docs), pa.int32()), none, none, none, none], schema=_FOUND)
-        for f, s, h, o in zip(*(batch.column(c) for c in ("fps", "sizes", "hashes", "ords"))):
-            at = np.frombuffer(o.as_py(), "<u2")
-            hashes.append(X.unpack_deltas(h.as_py()))
-            fps.append(np.frombuffer(f.as_py(), U64)[at])
-            sizes.append(np.frombuffer(s.as_py(), "<u4")[at])
+        for own, f, s in _held(batch):
+            hashes.append(own)
+            fps.append(f)
+            sizes.append(s)
     h = np.concatenate(hashes) if hashes else np.zeros(0, U64)
     if not len(h):
         return
@@ -151,14 +204,38 @@ def _shared_of(batches, n_buckets):
     held = np.repeat(count, count)
     kept = held > 1
     h, f, s, held = h[kept], f[kept], s[kept], held[kept].astype("<u4")
-    dest = (f % U64(n_buckets)).astype(np.int32)
+    dest = (f % U64(coarse * fine)).astype(np.int32)
+    yield _deal_sets(f, s, h, held, dest if fine == 1 else bucket % fine * coarse + dest // fine)
+
+
+def _deal_sets(f, s, h, held, dest) -> pa.RecordBatch:
+    """Shingles of sets, packed by where they go."""
     order = np.argsort(dest, kind="stable")
-    h, f, s, held, dest = h[order], f[order], s[order].astype("<u4"), held[order], dest[order]
+    h, f, s, held, dest = h[order], f[order], s[order].astype("<u4"), held[order].astype("<u4"), dest[order].astype(np.int32)
     first = np.flatnonzero(np.concatenate([[True], dest[1:] != dest[:-1]])) if len(dest) else np.zeros(0, np.int64)
     cut = list(zip(first.tolist(), [*first[1:].tolist(), len(dest)]))
     none = pa.nulls(len(cut), pa.int64())
     packed = [pa.array([x[i:j].tobytes() for i, j in cut], pa.binary()) for x in (f, s, h, held)]
-    yield pa.RecordBatch.from_arrays([none, none, none, pa.array(dest[first]), *packed], schema=_FOUND)
+    return pa.RecordBatch.from_arrays([none, none, none, pa.array(dest[first]), *packed], schema=_FOUND)
+
+
+def _sets_of(batches) -> list[np.ndarray]:
+    """Fingerprints, sizes, shingles and how many sets hold them."""
+    columns = {c: [] for c in ("fps", "sizes", "tokens", "counts")}
+    for batch in batches:
+        for c, kind in (("fps", U64), ("sizes", "<u4"), ("tokens", U64), ("counts", "<u4")):
+            columns[c] += [np.frombuffer(x.as_py(), kind) for x in batch.column(c)]
+    return [np.concatenate(x) for x in columns.values()]
+
+
+def _deal_sets_on(coarse: int, fine: int):
+    """What a node gathered of several buckets, dealt to the places of the sets in its share."""
+
+    def run(key, batches):
+        f, s, h, held = _sets_of(batches)
+        yield _deal_sets(f, s, h, held, (f % U64(coarse * fine)).astype(np.int32))
+
+    return run
 
 
 def signatures(n: int, tokens: np.ndarray, held: np.ndarray, frequent: int = FREQUENT) -> np.ndarray:
@@ -193,11 +270,7 @@ def signatures(n: int, tokens: np.ndarray, held: np.ndarray, frequent: int = FRE
 
 def _index(key, batches):
     """Sets that could have a link, with their shared shingles and signatures."""
-    columns = {c: [] for c in ("fps", "sizes", "tokens", "counts")}
-    for batch in batches:
-        for c, kind in (("fps", U64), ("sizes", "<u4"), ("tokens", U64), ("counts", "<u4")):
-            columns[c] += [np.frombuffer(x.as_py(), kind) for x in batch.column(c)]
-    f, n, tokens, held = (np.concatenate(x) for x in columns.values())
+    f, n, tokens, held = _sets_of(batches)
     order = np.argsort(f, kind="stable")
     f, n, tokens, held = f[order], n[order], tokens[order], held[order]
     first = np.flatnonzero(np.concatenate([[True], f[1:] != f[:-1]])) if len(f) else np.zeros(0, np.int64)
@@ -282,13 +355,18 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     words is one shingle; very long texts are taken whole.
     """
     total = text_bytes(docs)
-    n_buckets = parts(total, BUCKET_BYTES)
-    dealt = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_deal(n_buckets), _DEALT)
-    found = stage(dealt.groupBy("bucket").applyInArrow(X.on_tables(_shared(n_buckets), _FOUND), _FOUND_TYPES))
+    coarse, fine = levels(parts(total, BUCKET_BYTES))
+    groups = 1 if fine == 1 else parts(parts(total, BLOCK_BYTES), _staging.FAN)
+    dealt = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_deal(coarse, groups), _DEALT)
+    if fine > 1:
+        dealt = dealt.groupBy("bucket").applyInArrow(X.on_tables(_deal_on(coarse, fine), _DEALT_ARROW), _DEALT)
+    found = stage(dealt.groupBy("bucket").applyInArrow(X.on_tables(_shared(coarse, fine), _FOUND), _FOUND_TYPES))
+    held = found.where("dest is not null")
+    if fine > 1:
+        held = held.groupBy("dest").applyInArrow(X.on_tables(_deal_sets_on(coarse, fine), _FOUND), _FOUND_TYPES)
     members = found.where("dest is null").select("doc_id", "fp", F.col("n").alias("n_shingles"))
     sets = stage(
-        found.where("dest is not null")
-        .select("dest", "fps", "sizes", "tokens", "counts")
+        held.select("dest", "fps", "sizes", "tokens", "counts")
         .groupBy("dest")
         .applyInArrow(X.on_tables(_index, _SETS), "fp long, n long, s long, tokens array<long>, sigs array<long>")
     )

@@ -11,7 +11,9 @@ Texts are dealt once into blocks; the three passes over blocks read that one exc
    once per block, by a 128-bit fingerprint and grouped exactly.
 3. Blocks mark the words that the windows found repeated cover and return what is left.
 
-A window that a third of all documents share costs one row per block in each pass.
+A window that a third of all documents share costs one row per block in each pass. A block
+deals at most FAN rows in a pass: beyond as many ranges, nodes in between merge the sketches,
+or the windows, of FAN blocks for a share of the ranges, ask on, and hand the answers back.
 """
 
 from __future__ import annotations
@@ -24,7 +26,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import _text as X
-from ._staging import parts, text_bytes
+from . import _staging
+from ._staging import levels, parts, replayable, text_bytes
 
 WINDOW = 35
 BLOCK_BYTES = 4_000_000
@@ -66,34 +69,58 @@ def _by_range(values: np.ndarray, bits: int, buckets: int) -> list[int]:
     return [0, *np.searchsorted(values, np.array(bounds, U64)).tolist(), len(values)]
 
 
-def _sketch(window: int, bits: int, buckets: int):
+def _packed(value: np.ndarray, many: np.ndarray) -> bytes:
+    return struct.pack("<I", len(value)) + np.packbits(many).tobytes() + X.pack_deltas(value)
+
+
+def _unpacked(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Values and, for each, whether it is known to occur more than once."""
+    (n,) = struct.unpack_from("<I", blob)
+    size = (n + 7) // 8
+    return X.unpack_deltas(blob[4 + size :]), np.unpackbits(np.frombuffer(blob, np.uint8, size, 4), count=n).astype(bool)
+
+
+def _answer(flags: np.ndarray) -> bytes:
+    return struct.pack("<I", len(flags)) + np.packbits(flags).tobytes()
+
+
+def _flags(blob: bytes) -> np.ndarray:
+    (n,) = struct.unpack_from("<I", blob)
+    return np.unpackbits(np.frombuffer(blob, np.uint8, offset=4), count=n).astype(bool)
+
+
+def _batch(keys: list[int], bkeys: list[int], payloads: list[bytes]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(bkeys, pa.int64()), pa.array(payloads, pa.binary())], schema=_DEALT)
+
+
+def _pairs(batches) -> list[tuple[int, int, bytes]]:
+    return [(k, b, p.as_py()) for batch in batches for k, b, p in zip(batch.column("key").to_pylist(), batch.column("bkey").to_pylist(), batch.column("payload"))]
+
+
+def _sketch(window: int, bits: int, buckets: int, group: int):
+    """A block's sketch, dealt to ranges of cells; ``group`` blocks share the nodes of their ranges."""
+
     def run(key, batches):
         print_ = _Block(_rows(batches), window).fingerprint(1)
         keys, payloads = [], []
+        base = key[0].as_py() // group * ROWS * buckets
         for row in range(ROWS):
             value, counts = np.unique(cells(print_, row, bits), return_counts=True)
             edges = _by_range(value, bits, buckets)
             for b, (i, j) in enumerate(zip(edges, edges[1:])):
                 if i < j:
-                    keys.append(row * buckets + b)
-                    payloads.append(struct.pack("<I", j - i) + np.packbits(counts[i:j] > 1).tobytes() + X.pack_deltas(value[i:j]))
-        yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array([key[0].as_py()] * len(keys), pa.int64()), pa.array(payloads, pa.binary())], schema=_DEALT)
+                    keys.append(base + row * buckets + b)
+                    payloads.append(_packed(value[i:j], counts[i:j] > 1))
+        yield _batch(keys, [key[0].as_py()] * len(keys), payloads)
 
     return run
 
 
 def _merge(key, batches):
-    """Merge the partition sketches of a range of cells; tell each block which of its cells count two or more."""
-    blocks, many, values = [], [], []
-    for batch in batches:
-        for block, payload in zip(batch.column("bkey").to_pylist(), batch.column("payload")):
-            blob = payload.as_py()
-            (n,) = struct.unpack_from("<I", blob)
-            size = (n + 7) // 8
-            blocks.append(block)
-            many.append(np.unpackbits(np.frombuffer(blob, np.uint8, size, 4), count=n).astype(bool))
-            values.append(X.unpack_deltas(blob[4 + size :]))
-    value, twice = np.concatenate(values), np.concatenate(many)
+    """Merge the partition sketches of a range of cells; tell each sender which of its cells count two or more."""
+    rows = _pairs(batches)
+    parts_ = [_unpacked(p) for _, _, p in rows]
+    value, twice = np.concatenate([v for v, _ in parts_]), np.concatenate([t for _, t in parts_])
     order = np.argsort(value)
     value = value[order]
     same = np.zeros(len(value) + 1, bool)
@@ -101,14 +128,47 @@ def _merge(key, batches):
     repeated = np.empty(len(value), bool)
     repeated[order] = same[1:] | same[:-1]
     repeated |= twice
-    at, out = 0, []
-    for v in values:
-        out.append(struct.pack("<I", len(v)) + np.packbits(repeated[at : at + len(v)]).tobytes())
-        at += len(v)
-    yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()] * len(out), pa.int64()), pa.array(blocks, pa.int64()), pa.array(out, pa.binary())], schema=_DEALT)
+    # A cell that one sender knows to count two counts two for all.
+    if twice.any():
+        repeated |= np.isin(np.concatenate([v for v, _ in parts_]), value[repeated[order]])
+    ends = np.cumsum([len(v) for v, _ in parts_])
+    yield _batch([key[0].as_py()] * len(rows), [b for _, b, _ in rows], [_answer(x) for x in np.split(repeated, ends[:-1])])
+
+
+def _merged(rows: list) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
+    """The values of each sender, and all of them once, with whether they are known to occur more than once."""
+    parts_ = [_unpacked(p) for _, _, p in rows]
+    value, index, counts = np.unique(np.concatenate([v for v, _ in parts_]), return_inverse=True, return_counts=True)
+    many = counts > 1
+    many[index[np.concatenate([t for _, t in parts_])]] = True
+    return [v for v, _ in parts_], value, many
+
+
+def _sketch_up(bits: int, coarse: int, fine: int):
+    """A node's merged sketch, dealt to the ranges of its share."""
+
+    def run(key, batches):
+        rows, own = _pairs(batches), key[0].as_py()
+        _, value, many = _merged(rows)
+        edges, row = _by_range(value, bits, coarse * fine), own // coarse % ROWS
+        used = [(b, i, j) for b, (i, j) in enumerate(zip(edges, edges[1:])) if i < j]
+        yield _batch([row * coarse * fine + b for b, _, _ in used], [own] * len(used), [_packed(value[i:j], many[i:j]) for _, i, j in used])
+
+    return run
 
 
-def _estimated(window: int, bits: int, buckets: int):
+def _sketch_down(key, left, right):
+    """The answers to a node's merged sketch, for each of its blocks."""
+    rows = _pairs(left)
+    if not rows:
+        return
+    parts_, value, _ = _merged(rows)
+    flags = np.concatenate([_flags(p) for _, _, p in sorted(_pairs(right))])
+    assert len(flags) == len(value)
+    yield _batch([key[0].as_py()] * len(rows), [b for _, b, _ in rows], [_answer(flags[np.searchsorted(value, v)]) for v in parts_])
+
+
+def _estimated(window: int, bits: int, buckets: int, group: int):
     """The windows of a block that the sketch estimates repeated, each once, dealt by fingerprint."""
 
     def run(key, left, right):
@@ -119,15 +179,10 @@ def _estimated(window: int, bits: int, buckets: int):
         one = block.fingerprint(1)
         if not len(one):
             return
-        told = {}
-        for batch in right:
-            for k, payload in zip(batch.column("key").to_pylist(), batch.column("payload")):
-                blob = payload.as_py()
-                (n,) = struct.unpack_from("<I", blob)
-                told[k] = np.unpackbits(np.frombuffer(blob, np.uint8, offset=4), count=n).astype(bool)
+        told = {k: _flags(p) for k, _, p in _pairs(right)}
         likely = np.ones(len(one), bool)
         for row in range(ROWS):
-            flags = np.concatenate([told[k] for k in sorted(told) if k // buckets == row])
+            flags = np.concatenate([told[k] for k in sorted(told) if k // buckets % ROWS == row])
             value, index = np.unique(cells(one, row, bits), return_inverse=True)
             assert len(value) == len(flags)
             likely &= flags[index]
@@ -140,45 +195,75 @@ def _estimated(window: int, bits: int, buckets: int):
         first = np.flatnonzero(new)
         many = np.diff(np.append(first, len(one))) > 1
         one, two, hits = one[first], two[first], hits[first].astype("<u4")
-        edges = _by_range(one, 64, buckets)
-        keys, payloads = [], []
-        for b, (i, j) in enumerate(zip(edges, edges[1:])):
-            if i < j:
-                keys.append(b)
-                payloads.append(struct.pack("<I", j - i) + one[i:j].tobytes() + two[i:j].tobytes() + hits[i:j].tobytes() + many[i:j].tobytes())
-        yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array([key[0].as_py()] * len(keys), pa.int64()), pa.array(payloads, pa.binary())], schema=_DEALT)
+        yield _deal_windows(one, two, hits, many, buckets, key[0].as_py() // group * buckets, key[0].as_py())
 
     return run
 
 
-def _group(key, batches):
-    """Group fingerprints exactly; return to each block the windows of which another exists."""
-    blocks, one, two, hits, many = [], [], [], [], []
-    for batch in batches:
-        for block, payload in zip(batch.column("bkey").to_pylist(), batch.column("payload")):
-            blob = payload.as_py()
+def _deal_windows(one, two, hits, many, buckets: int, base: int, sender: int) -> pa.RecordBatch:
+    """Different windows in order, dealt to ranges of their fingerprints."""
+    edges = _by_range(one, 64, buckets)
+    used = [(b, i, j) for b, (i, j) in enumerate(zip(edges, edges[1:])) if i < j]
+    payloads = [struct.pack("<I", j - i) + one[i:j].tobytes() + two[i:j].tobytes() + hits[i:j].tobytes() + many[i:j].tobytes() for _, i, j in used]
+    return _batch([base + b for b, _, _ in used], [sender] * len(used), payloads)
+
+
+class _Windows:
+    """The windows of several senders in one order, with which of them occur more than once among all."""
+
+    def __init__(self, rows: list):
+        one, two, hits, many = [], [], [], []
+        for _, _, blob in rows:
             (n,) = struct.unpack_from("<I", blob)
-            blocks.append(block)
             one.append(np.frombuffer(blob, U64, n, 4))
             two.append(np.frombuffer(blob, U64, n, 4 + 8 * n))
             hits.append(np.frombuffer(blob, "<u4", n, 4 + 16 * n))
             many.append(np.frombuffer(blob, bool, n, 4 + 20 * n))
-    a, b = np.concatenate(one), np.concatenate(two)
-    order = np.lexsort((b, a))
-    a, b = a[order], b[order]
-    same = np.zeros(len(a) + 1, bool)
-    same[1:-1] = (a[1:] == a[:-1]) & (b[1:] == b[:-1])
-    repeated = np.empty(len(a), bool)
-    repeated[order] = same[1:] | same[:-1]
-    repeated |= np.concatenate(many)
-    at, keys, out = 0, [], []
-    for block, own in zip(blocks, hits):
-        found = own[repeated[at : at + len(own)]]
-        at += len(own)
-        if len(found):
-            keys.append(block)
-            out.append(found.tobytes())
-    yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()] * len(keys), pa.int64()), pa.array(keys, pa.int64()), pa.array(out, pa.binary())], schema=_DEALT)
+        self.hits = hits
+        a, b = np.concatenate(one), np.concatenate(two)
+        self.order = np.lexsort((b, a))
+        self.one, self.two = a[self.order], b[self.order]
+        new = np.ones(len(a), bool)
+        new[1:] = (self.one[1:] != self.one[:-1]) | (self.two[1:] != self.two[:-1])
+        self.first = np.flatnonzero(new)
+        self.number = np.cumsum(new) - 1  # of the different window, by place in the order
+        self.many = np.bincount(self.number, np.concatenate(many)[self.order] + 1) > 1
+
+    def answers(self, key: int, rows: list, repeated: np.ndarray) -> pa.RecordBatch:
+        """To each sender the hits of its windows that are repeated, by number."""
+        flags = np.empty(len(self.order), bool)
+        flags[self.order] = repeated[self.number]
+        found = [own[flag] for own, flag in zip(self.hits, np.split(flags, np.cumsum([len(h) for h in self.hits])[:-1]))]
+        told = [(b, f.tobytes()) for (_, b, _), f in zip(rows, found) if len(f)]
+        return _batch([key] * len(told), [b for b, _ in told], [p for _, p in told])
+
+
+def _group(key, batches):
+    """Group fingerprints exactly; return to each sender the windows of which another exists."""
+    rows = _pairs(batches)
+    windows = _Windows(rows)
+    yield windows.answers(key[0].as_py(), rows, windows.many)
+
+
+def _group_up(coarse: int, fine: int):
+    """A node's different windows, dealt to the ranges of its share; their hits are their numbers."""
+
+    def run(key, batches):
+        w = _Windows(_pairs(batches))
+        yield _deal_windows(w.one[w.first], w.two[w.first], np.arange(len(w.first), dtype="<u4"), w.many, coarse * fine, 0, key[0].as_py())
+
+    return run
+
+
+def _group_down(key, left, right):
+    rows = _pairs(left)
+    if not rows:
+        return
+    windows = _Windows(rows)
+    repeated = np.zeros(len(windows.first), bool)
+    for _, _, payload in _pairs(right):
+        repeated[np.frombuffer(payload, "<u4")] = True
+    yield windows.answers(key[0].as_py(), rows, repeated)
 
 
 def _remove(window: int):
@@ -231,16 +316,29 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     other columns are ignored; an empty table gives an empty result. Windows are judged on
     the input; very long texts are taken whole.
     """
+    docs = replayable(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"))
     total = text_bytes(docs)
-    n_blocks, buckets = parts(total, BLOCK_BYTES), parts(total, BUCKET_BYTES)
+    n_blocks = parts(total, BLOCK_BYTES)
+    coarse, fine = levels(parts(total, BUCKET_BYTES))
+    group = n_blocks if fine == 1 else _staging.FAN
     bits = max(16, min(62, (total // 6 * CELLS_PER_WINDOW).bit_length()))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("uid", F.monotonically_increasing_id())
+    rows = docs.withColumn("uid", F.monotonically_increasing_id())  # the same whenever the rows are read
     rows = rows.withColumn("bkey", F.pmod(F.xxhash64("uid"), F.lit(n_blocks)).cast("long"))
     dealt = rows.repartition(n_blocks, "bkey")
     kind, blocks = "key long, bkey long, payload binary", dealt.groupBy("bkey")
-    partial = blocks.applyInArrow(X.on_tables(_sketch(window, bits, buckets), _DEALT), kind)
-    merged = partial.groupBy("key").applyInArrow(X.on_tables(_merge, _DEALT), kind)
-    likely = blocks.cogroup(merged.groupBy("bkey")).applyInArrow(X.on_tables(_estimated(window, bits, buckets), _DEALT), kind)
-    exact = likely.groupBy("key").applyInArrow(X.on_tables(_group, _DEALT), kind)
+
+    def apply(groups, run) -> DataFrame:
+        return groups.applyInArrow(X.on_tables(run, _DEALT), kind)
+
+    def ask(requests: DataFrame, answer, up, down) -> DataFrame:
+        """The answers to each block, given by the ranges, or by way of nodes that ask for several blocks."""
+        if fine == 1:
+            return apply(requests.groupBy("key"), answer)
+        answers = apply(apply(requests.groupBy("key"), up).groupBy("key"), answer)
+        return apply(requests.groupBy("key").cogroup(answers.groupBy("bkey")), down)
+
+    merged = ask(apply(blocks, _sketch(window, bits, coarse, group)), _merge, _sketch_up(bits, coarse, fine), _sketch_down)
+    likely = apply(blocks.cogroup(merged.groupBy("bkey")), _estimated(window, bits, coarse, group))
+    exact = ask(likely, _group, _group_up(coarse, fine), _group_down)
     out = "doc_id long, n_words long, n_removed long, kept_text string"
     return blocks.cogroup(exact.groupBy("bkey")).applyInArrow(X.on_tables(_remove(window), _OUT), out)
