@@ -120,7 +120,7 @@ def _merge(key, batches):
     """Merge the partition sketches of a range of cells; tell each sender which of its cells count two or more."""
     rows = _pairs(batches)
     parts_ = [_unpacked(p) for _, _, p in rows]
-    value, twice = np.concatenate([v for v, _ in parts_]), np.concatenate([t for _, t in parts_])
+    value, twice = np.concatenate([v for v, _ in parts_]), np.concatenate([t for _, t in parts_])  # what two senders hold is found below
     order = np.argsort(value)
     value = value[order]
     same = np.zeros(len(value) + 1, bool)
@@ -128,9 +128,6 @@ def _merge(key, batches):
     repeated = np.empty(len(value), bool)
     repeated[order] = same[1:] | same[:-1]
     repeated |= twice
-    # A cell that one sender knows to count two counts two for all.
-    if twice.any():
-        repeated |= np.isin(np.concatenate([v for v, _ in parts_]), value[repeated[order]])
     ends = np.cumsum([len(v) for v, _ in parts_])
     yield _batch([key[0].as_py()] * len(rows), [b for _, b, _ in rows], [_answer(x) for x in np.split(repeated, ends[:-1])])
 
