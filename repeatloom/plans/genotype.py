@@ -69,13 +69,13 @@ def choose_regions(spark: SparkSession, *, default: bool = False, gene=None, vnt
         if found.isEmpty():
             raise selection.SelectionError(f"no regions on {sorted(wanted)}")
     # A list of regions is small next to reads: it is numbered in one task.
-    return found.withColumn("key", F.row_number().over(Window.orderBy("source", "ord")).cast("long"))
+    return found.withColumn("key", F.row_number().over(Window.orderBy("source", "ord")).cast("long")).cache()
 
 
 def backgrounds(spark: SparkSession, regions: DataFrame, genes_path: str, types, alignments_path: str | None) -> tuple[DataFrame, DataFrame]:
     """Regions with norm_key, and their backgrounds (norm_key, chrom, start, end, alt_regions)."""
-    genes = read_genes(spark, genes_path)
-    assigned = assign_genes(regions, genes, types)
+    genes = read_genes(spark, genes_path).cache()
+    assigned = assign_genes(regions, genes, types).cache()  # as small as the list of regions, and used many times
     for row in assigned.where("norm_key is null").select("name", "chrom").collect():
         log.warning("%s: no eligible gene on %s; its values will be empty", row.name, row.chrom)
     for row in assigned.where("n_ties > 1").select("name", "norm_key").collect():
@@ -88,6 +88,7 @@ def backgrounds(spark: SparkSession, regions: DataFrame, genes_path: str, types,
         norms = with_alternates(norms, parse_alignments(lines(spark, alignments_path)))
     elif alignments_path:
         log.warning("%s doesn't exist; backgrounds go without alternate contigs", alignments_path)
+    norms = norms.cache()
     # A key without a place has no background, hence no value.
     return assigned.join(norms.select(F.col("norm_key").alias("known")), F.col("norm_key") == F.col("known"), "left").withColumn("norm_key", F.col("known")).drop("known", "distance", "n_ties"), norms
 
