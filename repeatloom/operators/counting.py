@@ -2,30 +2,33 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.metrics import density_ratio, overlap_bp, predicted_copies, window
 from .overlap import overlap_join
 
 
-def targets(regions: DataFrame) -> DataFrame:
-    """A row for the primary interval and each alternate interval of a region, under the region's key."""
+def targets(regions: DataFrame, *more: str) -> DataFrame:
+    """A row for the primary interval and each alternate interval of a region, under the region's key and with the columns ``more``."""
     own = F.array(F.struct("chrom", F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end")))
     every = F.concat(own, F.coalesce("alt_regions", F.array().cast("array<struct<chrom:string,start:bigint,end:bigint>>")))
-    return regions.select("key", F.inline(every))
+    return regions.select("key", *more, F.inline(every))
 
 
 def background_targets(norms: DataFrame) -> DataFrame:
-    """targets() of backgrounds, which may come without alternate intervals."""
-    named = norms.withColumnRenamed("norm_key", "key")
-    return targets(named) if "alt_regions" in norms.columns else named.select("key", "chrom", "start", "end")
+    """targets() of backgrounds, which may come without alternate intervals; each with its primary interval as home."""
+    named = norms.withColumnRenamed("norm_key", "key").withColumn("home", F.struct("chrom", F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end")))
+    return targets(named, "home") if "alt_regions" in norms.columns else named.select("key", "home", "chrom", "start", "end")
+
+
+def _mapped(reads: DataFrame) -> DataFrame:
+    return reads.where("not is_unmapped").select("sample", "qname", "chrom", "start", "end")
 
 
 def hits(reads: DataFrame, intervals: DataFrame) -> DataFrame:
     """Distinct (sample, key, qname): mapped reads overlapping an interval of a key."""
-    mapped = reads.where("not is_unmapped").select("sample", "qname", "chrom", "start", "end")
-    return overlap_join(mapped, intervals).select("l.sample", "r.key", "l.qname").distinct()
+    return overlap_join(_mapped(reads), intervals).select("l.sample", "r.key", "l.qname").distinct()
 
 
 def read_counts(found: DataFrame, samples: DataFrame, regions: DataFrame) -> DataFrame:
@@ -36,16 +39,31 @@ def read_counts(found: DataFrame, samples: DataFrame, regions: DataFrame) -> Dat
     return cells.join(counts, ["sample", "key"], "left").select("sample", "key", F.coalesce("n", F.lit(0)).alias("n_reads"))
 
 
-def background(found: DataFrame, own: DataFrame, links: DataFrame) -> DataFrame:
-    """(sample, norm_key, n_background): reads of a background, less those of the regions linked to it.
+def _stretches(own: DataFrame, regions: DataFrame) -> DataFrame:
+    """(sample, qname, chrom, from, to): the primary intervals of the regions that a read was found in, merged where they touch."""
+    spans = own.join(regions.where("start < end").select("key", "chrom", "start", "end"), "key").drop("key")
+    by_place = Window.partitionBy("sample", "qname", "chrom").orderBy("start", "end")
+    reach = F.max("end").over(by_place.rowsBetween(Window.unboundedPreceding, -1))
+    first = spans.withColumn("first", F.when(F.col("start") <= reach, 0).otherwise(1))
+    numbered = first.withColumn("number", F.sum("first").over(by_place.rowsBetween(Window.unboundedPreceding, 0)))
+    return numbered.groupBy("sample", "qname", "chrom", "number").agg(F.min("start").alias("from"), F.max("end").alias("to")).drop("number")
+
+
+def background(reads: DataFrame, norms: DataFrame, own: DataFrame, regions: DataFrame) -> DataFrame:
+    """(sample, norm_key, n_background): distinct reads of a background, less those found in a region that overlaps it.
 
-    found: sample, key (of the background), qname; own: sample, key (of regions), qname;
-    links: norm_key, key of each region to leave out.
+    own: sample, key, qname of reads found in regions; a region overlaps a background by
+    their primary intervals. A read is left out by the merged stretches of its regions, one
+    or two as a rule, so it is never paired with each background of each of its regions.
     """
-    wanted = found.select("sample", F.col("key").alias("norm_key"), "qname")
-    left_out = own.join(links.select("norm_key", "key").distinct(), "key").select("sample", "norm_key", "qname").distinct()
-    rest = wanted.join(left_out, ["sample", "norm_key", "qname"], "left_anti")
-    return rest.groupBy("sample", "norm_key").agg(F.count("*").alias("n_background"))
+    pairs = overlap_join(_mapped(reads), background_targets(norms))
+    found = pairs.select("l.sample", "l.qname", F.col("r.key").alias("norm_key"), "r.home.chrom", F.col("r.home.start").alias("start"), F.col("r.home.end").alias("end"))
+    overlap = (F.col("f.start") < F.col("s.to")) & (F.col("s.from") < F.col("f.end")) & (F.col("f.start") < F.col("f.end"))
+    same = [F.col(f"f.{c}") == F.col(f"s.{c}") for c in ("sample", "qname", "chrom")]
+    rest = found.alias("f").join(_stretches(own, regions).alias("s"), [*same, overlap], "left_anti")
+    # chrom comes with norm_key, so that the join's partitions do for finding distinct reads too.
+    distinct = rest.groupBy("sample", "qname", "chrom", "norm_key").agg(F.lit(1).alias("one"))
+    return distinct.groupBy("sample", "norm_key").agg(F.count("*").alias("n_background"))
 
 
 def overlapping_regions(norms: DataFrame, regions: DataFrame) -> DataFrame:
@@ -70,8 +88,7 @@ def gene_mode(reads: DataFrame, samples: DataFrame, regions: DataFrame, norms: D
     """
     own = hits(reads, targets(regions))
     links = overlapping_regions(norms, regions.select("key", "chrom", "start", "end"))
-    wide = hits(reads, background_targets(norms))
-    back, lengths = background(wide, own, links), effective_lengths(norms, links)
+    back, lengths = background(reads, norms, own, regions), effective_lengths(norms, links)
     size = F.col("end") - F.col("start")
     cells = read_counts(own, samples, regions).join(regions.select("key", "norm_key", "period", size.alias("length")), "key")
     full = cells.join(lengths, "norm_key", "left").join(back, ["sample", "norm_key"], "left")
@@ -98,8 +115,7 @@ def local_mode(reads: DataFrame, samples: DataFrame, regions: DataFrame, width:
     plain = regions.select("key", "chrom", "start", "end")
     links = overlapping_regions(windows, plain)
     own = hits(reads, targets(regions))
-    wide = hits(reads, background_targets(windows))
-    back = background(wide, own, links)
+    back = background(reads, windows, own, regions)
     others = links.where("norm_key <> key").groupBy("norm_key").agg(F.sum("bp").alias("lost"))
     cells = read_counts(own, samples, regions).join(regions.select("key", "period", (F.col("end") - F.col("start")).alias("length")), "key")
     full = cells.withColumn("norm_key", F.col("key")).join(back, ["sample", "norm_key"], "left").join(others, "norm_key", "left")

@@ -87,3 +87,43 @@ def test_backgrounds_take_alternates(spark):
     assert {r.key: r.n_background for r in counting.local_mode(reads, samples, regions, 50, alternates=False).collect()} == {1: 1, 2: 0}
     norms = spark.createDataFrame([("G", "chr5", 0, 1000, [("alt", 90, 130)]), ("H", "chr6", 0, 1000, None)], "norm_key string, chrom string, start long, end long, alt_regions array<struct<chrom:string,start:bigint,end:bigint>>")
     assert {r.key: r.n_background for r in counting.gene_mode(reads, samples, regions, norms).collect()} == {1: 3, 2: 0}
+
+
+def test_backgrounds_equal_brute_force(spark):
+    """Regions that touch, nest or have no width, alternates, and names with several reads."""
+    draw = random.Random(7)
+    chroms = ["chr1", "chr2", "alt"]
+
+    def place(most):
+        at = draw.randrange(400)
+        return draw.choice(chroms), at, at + draw.randrange(most)
+
+    regions = [(k, *place(40), 3, str(k % 4), [place(30) for _ in range(k % 3)]) for k in range(60)]
+    regions += [(60, "chr1", 100, 120, 3, "0", []), (61, "chr1", 120, 140, 3, "1", []), (62, "chr1", 110, 110, 3, "2", None)]
+    reads = [(draw.choice("st"), f"q{draw.randrange(150)}", *place(25), draw.random() < 0.1) for _ in range(400)]
+    norms = [(str(n), *place(300), [place(100)] if n % 2 else None) for n in range(4)]
+
+    def meet(a, b):
+        return a[0] == b[0] and max(a[1], b[1]) < min(a[2], b[2])
+
+    def found(places):
+        return {(r[0], r[1]) for r in reads if not r[5] and any(meet(r[2:5], p) for p in places)}
+
+    own = {r[0]: found([r[1:4], *(r[6] or [])]) for r in regions}
+
+    def want(home, alternates):
+        left_out = set().union(*(own[r[0]] for r in regions if meet(home, r[1:4])))
+        return found([home, *alternates]) - left_out
+
+    table = spark.createDataFrame(reads, "sample string, qname string, chrom string, start long, end long, is_unmapped boolean")
+    asked = spark.createDataFrame(regions, REGION)
+    samples = table.select("sample").distinct()
+    back = spark.createDataFrame(norms, "norm_key string, chrom string, start long, end long, alt_regions array<struct<chrom:string,start:bigint,end:bigint>>")
+    by_gene = {n[0]: want(n[1:4], n[4] or []) for n in norms}
+    key = {r[0]: r[5] for r in regions}
+    for row in counting.gene_mode(table, samples, asked, back).collect():
+        assert row.n_background == sum(s == row.sample for s, _ in by_gene[key[row.key]])
+    wide = lambda p: (p[0], max(0, p[1] - 20), p[2] + 20)
+    by_region = {r[0]: want(wide(r[1:4]), [wide(p) for p in r[6] or []]) for r in regions}
+    for row in counting.local_mode(table, samples, asked, 20).collect():
+        assert row.n_background == sum(s == row.sample for s, _ in by_region[row.key])
