@@ -48,9 +48,10 @@ def parser() -> argparse.ArgumentParser:
     s.add_argument("--vcf", required=True)
     s.add_argument("--tsv", required=True, help="catalogue of regions")
     s.add_argument("--out", required=True)
+    s.add_argument("--sheets", action="store_true", help="write the summaries as XLSX too")
 
     p = commands.add_parser("plots", help="limits and fits of the plots of copy numbers")
-    p.add_argument("--summary", required=True, help="CSV with header, or Parquet")
+    p.add_argument("--summary", required=True, help="XLSX or CSV with header, or Parquet")
     p.add_argument("--out", required=True)
     return top
 
@@ -69,7 +70,7 @@ def run(spark: SparkSession, args: argparse.Namespace) -> None:
         annotation.summary(found).show(truncate=False)
         annotation.alternate_counts(found).show()
     elif args.command == "cohort":
-        cohort_study.run(spark, args.vcf, args.tsv, args.out)
+        cohort_study.run(spark, args.vcf, args.tsv, args.out, args.sheets)
     else:
         table = plots.with_products(read_summary(spark, args.summary, plots.NUMBERS)).cache()
         plots.matrix(table).write.option("header", True).csv(args.out)

@@ -8,10 +8,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import cohort, stats
+from ..sources.sheets import write_sheet
 from ..sources.text import CATALOGUE, lines, parse_sites, read_catalogue, sample_names
 from .haplotype_export import STATISTICS, csv_lines, variable_sites, with_catalogue, with_statistics
 
 CONTEXTS = ["bio_context_1", "bio_context_2", "bio_context_3"]
+REPORTED = [c for c in [*CATALOGUE, *STATISTICS] if c != "motifs"]  # columns of the summaries, in order
+SHEETS = ["summary", "copy_variable"]
 LENGTHS = (7, 100, 50)  # limits and number of bins of consensus lengths
 
 
@@ -45,7 +48,7 @@ def tables(spark: SparkSession, vcf: str, tsv: str) -> dict[str, DataFrame]:
         "site_counts": cohort.chromosome_counts(sites), "lengths_before": stats.describe(standard, "cons_len"), "lengths_after": stats.describe(kept, "cons_len"),
         "kept_counts": cohort.chromosome_counts(kept), "contexts": cohort.context_counts(kept, CONTEXTS), "variability": cohort.variability_counts(known),
         "variable_counts": cohort.chromosome_counts(variable), "length_histograms": length_histograms(kept), "variable_length_histograms": length_histograms(variable),
-        "summary": full.drop("motifs", "calls", "altanno", "genotypes"), "copy_variable": copies.drop("motifs", "calls", "altanno", "genotypes"),
+        "summary": full.select("ord", *REPORTED), "copy_variable": copies.select("ord", *REPORTED),
         "copy_variable_length_histograms": length_histograms(copies.withColumn("cons_len", F.col("cons_len").try_cast("double"))),
         "haplotypes": csv_lines(full, CATALOGUE),
     }
@@ -56,8 +59,11 @@ def header(spark: SparkSession, vcf: str) -> str:
     return ",".join([*CATALOGUE, *(f"{s}_hap{h}" for s in sample_names(spark, vcf) for h in (1, 2)), *STATISTICS])
 
 
-def run(spark: SparkSession, vcf: str, tsv: str, out: str) -> None:
-    """Write every table to a folder of its own under ``out``: CSV with a header, the haplotype export as lines after its own."""
+def run(spark: SparkSession, vcf: str, tsv: str, out: str, sheets: bool = False) -> None:
+    """Write every table to a folder of its own under ``out``: CSV with a header, the haplotype export as lines after its own.
+
+    With ``sheets``, SHEETS are written as workbooks too, in file order; ``out`` is a local folder then.
+    """
     for name, table in tables(spark, vcf, tsv).items():
         folder = os.path.join(out, name)
         if name == "haplotypes":
@@ -66,3 +72,5 @@ def run(spark: SparkSession, vcf: str, tsv: str, out: str) -> None:
         else:
             flat = table.select([c for c, kind in table.dtypes if not kind.startswith(("struct", "array"))])
             flat.write.option("header", True).csv(folder)
+            if sheets and name in SHEETS:
+                write_sheet(table.orderBy("ord").select(*REPORTED), f"{folder}.xlsx")

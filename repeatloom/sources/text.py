@@ -6,10 +6,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.metrics import ALT, PRIMARY, gtf_attribute, period
-
-
-class InputError(ValueError):
-    """An input file that can't be used."""
+from . import InputError
+from .sheets import read_sheet
 
 
 def lines(spark: SparkSession, path: str) -> DataFrame:
@@ -180,23 +178,29 @@ def _places(header: list[str], path: str, first_period: bool) -> tuple[str, str,
 
 
 def read_region_list(spark: SparkSession, path: str) -> DataFrame:
-    """(ord, chrom, start, end, period) of a list: CSV with a header, or tab-separated with or without one.
+    """(ord, chrom, start, end, period) of a list: XLSX or CSV with a header, or tab-separated with or without one.
 
     A tab-separated file has no header if its second field is a whole number. With a header,
     rows too short are dropped and others must hold whole numbers; without one, both are
-    dropped. Of several columns for the period, CSV prefers cons_len, a tab-separated file
-    takes the first.
+    dropped. Of several columns for the period, XLSX and CSV prefer cons_len, a tab-separated
+    file takes the first.
     """
     low = path.lower()
-    if low.endswith((".xlsx", ".xls")):
-        raise InputError(f"{path}: spreadsheets can't be read; save the list as CSV")
+    # Only fixed names, as a column may be called like anything.
+    col = lambda c: F.col(f"`{c}`")
+    length = lambda size: (period(col(size)) if size else F.lit(None).cast("int")).alias("period")
+    if low.endswith(".xls"):
+        raise InputError(f"{path}: the old spreadsheet format can't be read; save the list as XLSX or CSV")
+    if low.endswith(".xlsx"):
+        table = read_sheet(spark, path, "__ord")
+        chrom, start, end, size = _places(table.columns[1:], path, False)
+        whole = lambda c: col(c).cast("double").cast("long")  # noqa: E731  # a sheet may keep 12 as 1.2E1
+        return table.select(F.col("__ord").alias("ord"), col(chrom).alias("chrom"), whole(start).alias("start"), whole(end).alias("end"), length(size))
     place = F.struct(F.col("_metadata.file_path"), F.col("_metadata.file_block_start"), F.monotonically_increasing_id())
     if low.endswith((".csv", ".csv.gz")):
         table = spark.read.option("header", True).csv(path)
         chrom, start, end, size = _places(table.columns, path, False)
-        # Only fixed names, as a column may be called like anything.
-        col = lambda c: F.col(f"`{c}`")
-        return table.select(place.alias("ord"), col(chrom).alias("chrom"), col(start).cast("long").alias("start"), col(end).cast("long").alias("end"), (period(col(size)) if size else F.lit(None).cast("int")).alias("period"))
+        return table.select(place.alias("ord"), col(chrom).alias("chrom"), col(start).cast("long").alias("start"), col(end).cast("long").alias("end"), length(size))
     text = spark.read.text(path).select(place.alias("ord"), F.col("value").alias("line")).where(~F.col("line").startswith("#"))
     first = text.orderBy("ord").limit(1).collect()
     if not first:
@@ -226,8 +230,11 @@ def read_catalogue(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_summary(spark: SparkSession, path: str, numbers: list[str]) -> DataFrame:
-    """A summary table (CSV with header, or Parquet) with ``numbers`` as doubles, null where they aren't numbers."""
-    table = spark.read.parquet(path) if path.endswith(".parquet") else spark.read.option("header", True).csv(path)
+    """A summary table (XLSX or CSV with header, or Parquet) with ``numbers`` as doubles, null where they aren't numbers."""
+    if path.lower().endswith(".xlsx"):
+        table = read_sheet(spark, path)
+    else:
+        table = spark.read.parquet(path) if path.endswith(".parquet") else spark.read.option("header", True).csv(path)
     return table.withColumns({c: F.col(c).try_cast("double") for c in numbers})
 
 

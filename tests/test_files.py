@@ -10,6 +10,7 @@ import pytest
 from repeatloom import cli
 from repeatloom.operators import cohort, liftover, selection, stats
 from repeatloom.plans import annotation, cohort_study, genotype, plots
+from repeatloom.plans.haplotype_export import STATISTICS
 from repeatloom.sources import text
 
 READS = [("r1", 90, 11, 0), ("r2", 200, 10, 0), ("r3", 195, 4, 0), ("r3", 500, 50, 0), ("r4", 500, 100, 16), ("r6", 150, 1, 4), ("#r7", 60, 20, 0)]
@@ -130,7 +131,8 @@ def test_region_lists(spark, tmp_path, name, content, want):
 def test_region_lists_that_cannot_be_read(spark, tmp_path):
     (tmp_path / "b.csv").write_text("chrom,begin,end\nchr1,1,2\n")
     (tmp_path / "c.tsv").write_text("# only\n")
-    for name in ("a.xlsx", "b.csv", "c.tsv"):
+    (tmp_path / "a.xlsx").write_text("chrom,start,end\n")
+    for name in ("a.xls", "a.xlsx", "b.csv", "c.tsv"):
         with pytest.raises(text.InputError):
             text.read_region_list(spark, str(tmp_path / name))
 
@@ -170,7 +172,11 @@ def test_cohort(spark, tmp_path):
     summary = t["summary"].orderBy("ord").collect()
     assert [(r.chrom, r.start, r.cons_len, r.mean_hap1) for r in summary] == [("chr1", "10", "9", 3.0), ("chr1", "10", "9", 2.0)]
     assert rows("copy_variable", "start") == [("10",), ("10",)] and "motifs" not in t["summary"].columns
-    cohort_study.run(spark, vcf, tsv, str(tmp_path / "out"))
+    cohort_study.run(spark, vcf, tsv, str(tmp_path / "out"), sheets=True)
+    sheet = text.read_summary(spark, str(tmp_path / "out" / "summary.xlsx"), plots.NUMBERS)
+    assert [(r.chrom, r.start, r.cons_len, r.mean_hap1) for r in sheet.collect()] == [("chr1", "10", 9.0, 3.0), ("chr1", "10", 9.0, 2.0)]
+    assert sheet.columns[:4] == ["chrom", "start", "end", "cluster_type"] and sheet.columns[-8:] == STATISTICS
+    assert text.read_summary(spark, str(tmp_path / "out" / "copy_variable.xlsx"), plots.NUMBERS).count() == 2
     lines = [r.value for r in spark.read.text(str(tmp_path / "out" / "haplotypes")).collect()]
     assert lines[0].endswith("bio_context_3,S1_hap1,S1_hap2,S2_hap1,S2_hap2,mean_hap1,mean_hap2,var_hap1,var_hap2,mean_combined,var_combined,h_exp,h_obs")
     assert lines[1].startswith('chr1,10,e,"m,1",k,v,9,s,a,b,c,d,g,x,b1,y,3,2,3,3,3.0,2.5,0.0,0.5,') and len(lines) == 3
