@@ -2,7 +2,9 @@
 
 import gzip
 import random
+import re
 import struct
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -209,3 +211,12 @@ def test_plots_equal_numpy(spark):
             assert got.count() == ((x >= ends[0]) & (x <= ends[1]) & (y >= ylim[0]) & (y <= ylim[1])).sum()
     assert plots.matrix(table, ["heat_power"]).count() == 8
     assert stats.p_value(1.0, 9) == 0.0
+
+
+def test_flags_of_the_r_script():
+    """R isn't at hand in tests, so only its flags are held against those of the command."""
+    script = (Path(__file__).parent.parent / "r" / "repeatloom.R").read_text()
+    flags = set(re.findall(r'"(--[a-z-]+)"', script)) - {"--version"}
+    (commands,) = (a for a in cli.parser()._actions if a.dest == "command")
+    known = {option for a in commands.choices["count"]._actions for option in a.option_strings}
+    assert flags <= known and known - flags == {"-h", "--help", "-r", "-i", "-g", "-o", "--no-gtf", "--verbose"}
