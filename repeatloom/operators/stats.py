@@ -8,11 +8,58 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
+#: Most different values that are looked through in one place, and pieces in which more of them are cut.
+HELD, PIECES = 10_000, 32
+
+
+def percentiles(df: DataFrame, x: str, shares: list[float]) -> list[float | None]:
+    """Exact percentiles of a column by linear interpolation; null without values.
+
+    Rows are counted by value, and of the different values those around the wanted place
+    are narrowed down to HELD by counts between approximate borders, which only decide how
+    fast this goes. It runs jobs; neither a task nor the driver holds more of the values.
+    """
+    counts = df.select(F.col(x).cast("double").alias("v")).where("v is not null").groupBy("v").agg(F.count("*").alias("n")).cache()
+    rows = counts.orderBy("v").limit(HELD + 1).collect()
+    if len(rows) <= HELD:
+        total = sum(n for _, n in rows)
+        out = [_at(rows, 0, share * (total - 1)) if total else None for share in shares]
+    else:
+        different, total = counts.agg(F.count("*"), F.sum("n")).first()
+        out = [_percentile(counts, different, share * (total - 1)) for share in shares]
+    counts.unpersist()
+    return out
+
+
+def _percentile(counts: DataFrame, different: int, place: float) -> float:
+    """The value at a place, from 0, among values ``v`` that occur ``n`` times each."""
+    lower, upper, below = math.floor(place), math.ceil(place), 0
+    while different > HELD:
+        borders = sorted(set(counts.agg(F.percentile_approx("v", [i / PIECES for i in range(1, PIECES)], 10_000)).first()[0]))
+        under = [F.struct(F.coalesce(F.sum(F.when(F.col("v") < b, F.col("n"))), F.lit(0)), F.count(F.when(F.col("v") < b, 1))) for b in borders]
+        cuts = [(b, below + n, k) for b, (n, k) in zip(borders, counts.agg(*under).first())]
+        first = max((c for c in cuts if c[1] <= lower), key=lambda c: c[1:], default=(None, below, 0))
+        last = min((c for c in cuts if c[1] > upper), key=lambda c: c[1:], default=(None, 0, different))
+        for cut, kept in ((first[0], F.col("v") >= F.lit(first[0])), (last[0], F.col("v") < F.lit(last[0]))):
+            counts = counts.where(kept) if cut is not None else counts
+        below, different = first[1], last[2] - first[2]
+    return _at(counts.orderBy("v").collect(), below, place)
+
+
+def _at(rows: list, below: int, place: float) -> float:
+    """The value at a place among those of ``rows`` (v, n), in order, before which ``below`` others come."""
+    lower, upper, found = math.floor(place), math.ceil(place), []
+    for v, n in rows:
+        found += [v] * ((below <= lower < below + n) + (lower != upper and below <= upper < below + n))
+        below += n
+    return found[0] if found[0] == found[-1] else (upper - place) * found[0] + (place - lower) * found[1]
+
+
 def describe(df: DataFrame, x: str) -> DataFrame:
     """n, mean, median, sd (n - 1), min, max, q1 and q3 (linear interpolation) of a column."""
-    q = F.percentile(x, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-    row = df.agg(F.count(x).alias("n"), F.avg(x).alias("mean"), F.stddev_samp(x).alias("sd"), F.min(x).alias("min"), F.max(x).alias("max"), q.alias("q"))
-    return row.select("n", "mean", F.col("q")[1].alias("median"), "sd", "min", "max", F.col("q")[0].alias("q1"), F.col("q")[2].alias("q3"))
+    q1, median, q3 = (F.lit(q).cast("double") for q in percentiles(df, x, [0.25, 0.5, 0.75]))
+    row = df.agg(F.count(x).alias("n"), F.avg(x).alias("mean"), F.stddev_samp(x).alias("sd"), F.min(x).alias("min"), F.max(x).alias("max"))
+    return row.select("n", "mean", median.alias("median"), "sd", "min", "max", q1.alias("q1"), q3.alias("q3"))
 
 
 def histogram(df: DataFrame, x: str, low: float, high: float, bins: int) -> DataFrame:
@@ -34,7 +81,9 @@ def histogram_2d(df: DataFrame, x: str, y: str, limits: tuple[float, float, floa
 
 
 def percentile_limits(df: DataFrame, x: str, low: float, high: float) -> DataFrame:
-    return df.agg(F.percentile(x, F.lit(low)).alias("low"), F.percentile(x, F.lit(high)).alias("high"))
+    """low and high: the percentiles of a column at two shares."""
+    a, b = (F.lit(q).cast("double") for q in percentiles(df, x, [low, high]))
+    return df.sparkSession.range(1).select(a.alias("low"), b.alias("high"))
 
 
 def regression(df: DataFrame, x: str, y: str) -> DataFrame:

@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.stats import histogram_2d, p_value, percentile_limits, power_law, regression
+from ..operators.stats import histogram_2d, p_value, percentiles, power_law, regression
 
 # Fixed pairs: what is plotted against what.
 PAIRS = [
@@ -51,7 +51,7 @@ def with_products(summary: DataFrame) -> DataFrame:
 def fitted(table: DataFrame, x: str, y: str, s: Setting) -> dict:
     """Limits of both axes, the fit (a and b of a + b x, or of a x**b) over all data, its r and p, and the ends of its curve."""
     both = table.where(F.col(x).isNotNull() & F.col(y).isNotNull())
-    limits = lambda c, of=both: percentile_limits(of, c, s.low, s.high).first()
+    limits = lambda c, of=both: percentiles(of, c, [s.low, s.high])
     out = dict(zip(("x_low", "x_high", "y_low", "y_high"), (*limits(x), *limits(y))))
     positive = both.where((F.col(x) > 0) & (F.col(y) > 0))
     if s.fit == "linear":

@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -127,3 +128,13 @@ def test_backgrounds_equal_brute_force(spark):
     by_region = {r[0]: want(wide(r[1:4]), [wide(p) for p in r[6] or []]) for r in regions}
     for row in counting.local_mode(table, samples, asked, 20).collect():
         assert row.n_background == sum(s == row.sample for s, _ in by_region[row.key])
+
+
+@pytest.mark.parametrize("values", [[], [5.0], [1.0, 2.0], list(range(400)), [7.0] * 300 + list(range(100)), [float(i * i % 97) for i in range(500)], [-0.5] * 5 + [None] * 9 + [1e300, -1e300]])
+def test_percentiles_equal_numpy(spark, monkeypatch, values):
+    """Narrowed down to a few values, with ties at either side of a border."""
+    monkeypatch.setattr(stats, "HELD", 5)
+    monkeypatch.setattr(stats, "PIECES", 4)
+    shares, known = [0.0, 0.01, 0.25, 0.5, 0.75, 0.99, 1.0], [v for v in values if v is not None]
+    got = stats.percentiles(spark.createDataFrame([(v if v is None else float(v),) for v in values], "x double"), "x", shares)
+    assert got == (pytest.approx(np.percentile(known, [100 * s for s in shares]).tolist()) if known else [None] * 7)
